@@ -131,3 +131,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     out *= _TIMES[1]
     out ^= out >> _SHIFTS[2]
     return out
+
+
+def broadcast_if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """The frame with a broadcast hint if it has at most ``most`` rows, which is counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

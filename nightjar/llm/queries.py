@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightjar.llm import order_minhash
+from nightjar.llm import cuckoo, feistel_shards, order_minhash, pareto_mix, simhash_index
 from nightjar.llm._common import table
 
 
@@ -14,6 +14,30 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = pareto_mix.mix(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_shards.shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_order_minhash": op1_order_minhash,
+    f.__name__: f
+    for f in (
+        op1_order_minhash,
+        op2_simhash_gray_index,
+        op7_cuckoo_exact_dedup,
+        op8_pareto_mix,
+        op10_feistel_shards,
+    )
 }

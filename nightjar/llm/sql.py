@@ -2,4 +2,52 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_OP7 = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
+  FROM documents
+), w AS (
+  SELECT *, first_value(doc_id) OVER best AS keep_id, first_value(chars) OVER best AS keep_chars,
+         count(*) OVER (PARTITION BY h) AS group_size
+  FROM d WINDOW best AS (PARTITION BY h ORDER BY chars DESC, doc_id ASC NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, (doc_id IS NOT DISTINCT FROM keep_id AND chars = keep_chars) AS kept, h AS text_sha256 FROM w
+"""
+
+_OP8 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, (place % 3 + 1)::DOUBLE AS w, (source_size * 3)::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, source_size, CASE WHEN cap <= w * level THEN cap ELSE w * min(CASE WHEN cap > w * level THEN level END) OVER () END AS target FROM l
+), g AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS share FROM t
+), p AS (
+  SELECT *, least(floor(share), 3)::INTEGER AS whole FROM g
+), r AS (
+  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
+         (('0x' || substr(md5('nightjar-mix-1|' || coalesce(d.doc_id::VARCHAR, '-') || '|' || d.size::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u,
+         (p.share - p.whole) / (1 - (p.share - p.whole)) AS inclusion
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), o AS (
+  SELECT *, CASE WHEN inclusion > 0 AND size > 0 THEN u / (1 - u) / inclusion END AS odds FROM r
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds) ASC NULLS LAST, doc_id ASC NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto FROM o
+)
+SELECT doc_id, size, source_size, target, source,
+       (whole + CASE WHEN odds IS NOT NULL AND rest > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END)::INTEGER AS copies,
+       ((whole + CASE WHEN odds IS NOT NULL AND rest > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM c
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_cuckoo_exact_dedup": _OP7,
+    "op8_pareto_mix": _OP8,
+}
