@@ -74,20 +74,22 @@ def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFram
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Links (a, b) of longs -> (node, component), component being the smallest node that can be reached.
 
-    Each round every node hooks to its smallest neighbour and the links are contracted to the hooks, which at
-    least halves the nodes that still have links. A component's smallest node never hooks, so it is what stays.
-    Nodes without links are not returned.
+    Each round draws a random order, every node hooks to the first of itself and its neighbours, and the links
+    are contracted to the hooks. That leaves a constant share of the nodes on paths and one or two rounds' work
+    on stars, so the rounds grow with the logarithm of the nodes. Nodes without links are not returned.
     """
     live = pinned(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     hooks: list[DataFrame] = []
     while not live.isEmpty():
         if len(hooks) == max_rounds:
             raise RuntimeError("the components did not settle")
+        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(len(hooks))).alias("draw"), F.col(c).alias("node"))  # noqa: E731, B023
         both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = pinned(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent")))
+        first = both.groupBy("a").agg(F.min(drawn("b")).alias("m")).select(F.col("a").alias("node"), F.least(drawn("a"), "m")["node"].alias("parent"))
+        hook = pinned(first)
         hooks.append(hook)
         of_a = hook.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         of_b = hook.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
@@ -95,11 +97,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         live = pinned(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     if not hooks:
         return links.sparkSession.createDataFrame([], "node long, component long")
-    found = hooks[0].select("node", F.col("parent").alias("component"))
+    found = hooks[0].withColumnRenamed("parent", "root")
     for hook in hooks[1:]:
-        step = hook.select(F.col("node").alias("component"), F.col("parent").alias("_next"))
-        found = found.join(step, "component", "left").select("node", F.coalesce("_next", "component").alias("component"))
-    return found
+        found = found.join(hook.select(F.col("node").alias("root"), F.col("parent").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    found = pinned(found)
+    return found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
 def forest(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
