@@ -60,11 +60,12 @@ def range_bucket(x: Column, bounds: list[int]) -> Column:
 def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Number all rows 0.. in the given order without ever bringing them into one task.
 
-    Rows are dealt by range of all the order columns, so a frequent key is split. The sorted rows are pinned,
+    Rows are dealt by range of all the order columns, so a frequent key is split (they are pinned first, as
+    sampling the ranges reads them once more). The sorted rows are pinned,
     each partition is counted, and the counts' running sum (one row a partition) is joined back.
     """
     spark = df.sparkSession
-    ordered = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ordered = pinned(df).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     placed = pinned(ordered.withColumn("_at", F.monotonically_increasing_id()))
     # monotonically_increasing_id is (partition << 33) + place in the partition
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightjar.llm import cuckoo, feistel_shards, order_minhash, pareto_mix, simhash_index
+from nightjar.llm import bin_slack, cuckoo, feistel_shards, license_scan, order_minhash, pareto_mix, perspectives, simhash_index
 from nightjar.llm._common import table
 
 
@@ -18,6 +18,14 @@ def op2_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_slack.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,10 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shards(table(spark, sf_dir, "documents"))
 
@@ -36,8 +48,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_order_minhash,
         op2_simhash_gray_index,
+        op5_bin_slack_packing,
+        op6_license_scan,
         op7_cuckoo_exact_dedup,
         op8_pareto_mix,
+        op9_perspective_rotation,
         op10_feistel_shards,
     )
 }

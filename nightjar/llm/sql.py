@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from nightjar.llm.license_scan import LEAST_SHARE, TEMPLATES
+
 _OP7 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -47,7 +49,55 @@ SELECT doc_id, size, source_size, target, source,
 FROM c
 """
 
+_T = ", ".join(f"({i}, '{t.label}', {t.base}, {list(t.words)!r}, {t.key_at}, {list(t.key)!r})" for i, t in enumerate(TEMPLATES))
+
+_OP6 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t(i, label, base, words, key_at, key) AS (VALUES {_T}
+), s AS (
+  SELECT r, label, base, words, w, unnest(list_filter(range(-key_at, len(w)), lambda p: p + key_at >= 0 AND w[p + key_at + 1 : p + key_at + len(key)] = key)) AS p
+  FROM d, t WHERE len(list_intersect(w, key)) > 0
+), f AS (
+  SELECT r, label, base, p,
+         len(list_filter(range(0, len(words)), lambda k: p + k >= 0 AND w[greatest(p + k, 0) + 1] = words[k + 1])) / len(words)::DOUBLE AS share
+  FROM s
+), g AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM f WHERE base OR share >= {LEAST_SHARE} GROUP BY r
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (r)
+"""
+
+_OP9 = r"""
+WITH s AS (
+  SELECT conv_id, turn, coalesce(regexp_replace(role, '[\s<>|]+', '_', 'g'), 'unknown') AS speaker,
+         regexp_replace(coalesce(text, ''), '<\|im_', '<| im_', 'g') AS text FROM conversations
+), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'
+), e AS (
+  SELECT s.*, perspective, speaker = perspective AS own,
+         CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END AS shown_as
+  FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+), g AS (
+  SELECT *, '<|im_start|>' || shown_as || chr(10) AS head, '<|im_start|>' || shown_as || chr(10) || text || '<|im_end|>' || chr(10) AS segment FROM e
+), o AS (
+  SELECT *, (row_number() OVER w - 1) AS place, (sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) - length(segment))::BIGINT AS start
+  FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment)
+)
+SELECT conv_id, perspective, place, turn, speaker, shown_as, segment, start,
+       CASE WHEN own THEN start + length(head) END AS mask_start, CASE WHEN own THEN start + length(segment) - 1 END AS mask_end
+FROM o
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_license_scan": _OP6,
+    "op9_perspective_rotation": _OP9,
     "op7_cuckoo_exact_dedup": _OP7,
     "op8_pareto_mix": _OP8,
 }
