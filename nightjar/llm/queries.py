@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nightjar.llm import bin_slack, cuckoo, feistel_shards, license_scan, order_minhash, pareto_mix, perspectives, simhash_index
+from nightjar.llm import bin_slack, cotrain, cuckoo, feistel_shards, license_scan, line_dedup, order_minhash, pareto_mix, perspectives, simhash_index
 from nightjar.llm._common import table
 
 
@@ -18,6 +19,17 @@ def op2_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"), digest.alias("text_sha256"))
+
+
+def op4_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
 def op5_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_slack.pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_order_minhash,
         op2_simhash_gray_index,
+        op3_fuzzy_line_dedup,
+        op4_cotrained_quality,
         op5_bin_slack_packing,
         op6_license_scan,
         op7_cuckoo_exact_dedup,
