@@ -12,16 +12,20 @@ from pyspark.sql import window as W
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, one machine) is a
-    temporary folder set.
+    Only where that is unset (tests, one machine) is a temporary folder set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Cut the lineage with checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

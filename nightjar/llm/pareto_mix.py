@@ -66,8 +66,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.withColumn("whole", F.least(F.floor(share), F.lit(most)).cast("int"))
     goal = goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("part", share - F.col("whole"))
-    goal = pinned(goal)
-    rows = sized.join(broadcast_if_small(goal), sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
+    goal = pinned(goal).withColumnRenamed("source", "of")
+    rows = sized.join(broadcast_if_small(goal), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     u = uniform(F.col("doc_id"), F.col("size"))
     inclusion = F.col("part") / (1 - F.col("part")) * (F.col("tilt") if tilt is not None else F.lit(1.0))
     odds = F.when(inclusion > 0, u / (1 - u) / inclusion)
@@ -77,9 +77,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counted = rows.filter(drawn).groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cut = counted.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    cut = cut.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select("source", F.col("cell").alias("cut"), "before")
+    cut = cut.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select(F.col("source").alias("of"), F.col("cell").alias("cut"), "before")
     cut = pinned(cut)  # at most one row a source
-    rows = rows.join(broadcast_if_small(cut), rows["source"].eqNullSafe(cut["source"]), "left").drop(cut["source"])
+    rows = rows.join(broadcast_if_small(cut), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     inside = drawn & (F.col("cell") == F.col("cut"))
     in_cell = Window.partitionBy("source").orderBy("q", "doc_id", "size")
     edge = rows.filter(inside).withColumn("upto", F.col("before") + F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
