@@ -1 +1,3 @@
-"""See README.md for the contents of this subpackage."""
+"""Registered queries: each module registers its own at import."""
+
+from nightjar.plans import conn  # noqa: F401
