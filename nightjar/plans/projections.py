@@ -83,7 +83,7 @@ def x509(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def era_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.lit(443).alias("port"), F.expr("if(o_orderpriority like '1%', 'udp', 'tcp')").alias("proto"), F.col("o_totalprice").alias("duration"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").cast("timestamp").alias("began"), F.lit(443).alias("port"), F.expr("if(o_orderpriority like '1%', 'udp', 'tcp')").alias("proto"), F.col("o_totalprice").alias("duration"))
 
 
 _E0 = "e0 AS (SELECT event_id, epoch_us(ts) / 1000000.0::DOUBLE AS ts, user_id, event_type, value, (props::JSON ->> '$.k')::INTEGER AS k FROM events)"
@@ -109,7 +109,7 @@ SQL = {
       'c' || l_linestatus AS cipher, CASE WHEN l_tax = 0 THEN NULL ELSE 'name' END AS sni, l_linenumber % 4 = 0 AS resumed, l_discount < 0.09 AS established,
       CASE WHEN l_discount = 0.05 THEN 'self signed certificate' WHEN l_discount > 0.03 THEN 'ok' END AS validation_status, CASE WHEN l_returnflag = 'A' THEN 'fp' || (l_partkey % 50) END AS cert_fp FROM lineitem)""",
     "x509": """x509 AS (SELECT p_partkey AS row_id, 'fp' || (p_partkey % 50) AS fingerprint, p_partkey::DOUBLE AS ts, 0.0::DOUBLE AS not_valid_before, p_size * 86400.0::DOUBLE AS not_valid_after, 1024 + p_size AS key_length, p_brand AS key_alg, p_size % 2 = 0 AS self_signed FROM part)""",
-    "era_conn": "era_conn AS (SELECT o_orderkey AS row_id, o_orderdate AS at, CASE WHEN o_orderpriority LIKE '1%' THEN 'udp' ELSE 'tcp' END AS proto, o_totalprice AS duration FROM orders)",
+    "era_conn": "era_conn AS (SELECT o_orderkey AS row_id, o_orderdate AS began, CASE WHEN o_orderpriority LIKE '1%' THEN 'udp' ELSE 'tcp' END AS proto, o_totalprice AS duration FROM orders)",
 }
 
 
