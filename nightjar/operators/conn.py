@@ -107,7 +107,7 @@ def beacon_score(conn: DataFrame, floor: int = 20, bin_s: float = 30.0, band: tu
     order = Window.partitionBy(*keys).orderBy("ts", "row_id")
     gaps = kept.withColumn("gap", F.col("ts") - F.lag("ts").over(order)).filter("gap IS NOT NULL")
     centre = gaps.groupBy(*keys).agg(F.avg("gap").alias("m"), F.stddev_pop("gap").alias("s"))
-    clean = gaps.join(centre, keys).filter(F.abs(F.col("gap") - F.col("m")) <= 3 * F.col("s"))
+    clean = gaps.join(centre, keys).filter((F.abs(F.col("gap") - F.col("m")) < 3 * F.col("s")) | (F.col("s") == 0))
     jitter = clean.groupBy(*keys).agg((F.stddev_pop("gap") / F.avg("gap")).alias("jitter_cv"))
     bins = kept.groupBy(*keys, F.floor((F.col("ts") - F.col("first_ts")) / bin_s).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
@@ -117,15 +117,18 @@ def beacon_score(conn: DataFrame, floor: int = 20, bin_s: float = 30.0, band: tu
             return pd.DataFrame([], columns=out)
         signal = np.zeros(size)
         signal[part["bin"].to_numpy()] = part["n"].to_numpy()
-        signal -= signal.mean()
-        power = np.abs(np.fft.rfft(signal)) ** 2
+        strength = np.abs(np.fft.rfft(signal - signal.mean()))
+        strength[0] = 0
         with np.errstate(divide="ignore"):
-            period = np.where(np.arange(len(power)) > 0, 1 / np.fft.rfftfreq(size, bin_s), np.inf)
-        inside = (period >= band[0]) & (period <= band[1])
-        if not inside.any() or power[1:].sum() <= 0:
+            period = 1 / np.fft.rfftfreq(size, bin_s)
+        inside = np.flatnonzero((period >= band[0]) & (period <= band[1]))
+        if not len(inside) or strength[inside].max() <= 0:
             return pd.DataFrame([], columns=out)
-        at = int(np.argmax(np.where(inside, power, -1)))
-        return pd.DataFrame([(*key, period[at], power[at] / power[1:].sum(), power[at] / max(np.median(power[inside]), 1e-12))], columns=out)
+        at = int(inside[np.argmax(strength[inside])])
+        reach = max(10, at // 20)
+        near = np.delete(strength, [0, at])[max(0, at - 1 - reach) : at - 1 + reach]
+        noise = np.median(near) if len(near) else 1.0
+        return pd.DataFrame([(*key, period[at], strength[at] / strength.sum(), strength[at] / (noise + 1e-10))], columns=out)
 
     out = [*keys, "period", "ratio", "prominence"]
     found = bins.groupBy(*keys).applyInPandas(spectrum, "src string, dst string, port int, proto string, period double, ratio double, prominence double")
