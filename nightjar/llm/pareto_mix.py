@@ -40,9 +40,11 @@ def targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...]
     onward = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy()
     left = F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    leveled = weighed.withColumn("level", left / F.sum("w").over(onward)).withColumn("capped", F.col("cap") <= F.col("w") * F.col("level"))
-    level = F.min(F.when(~F.col("capped"), F.col("level"))).over(everything)
-    return leveled.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * level).alias("target"))
+    leveled = weighed.withColumn("level", left / F.sum("w").over(onward)).withColumn("place", F.row_number().over(fill))
+    # the caps hold up to the first source that its share leaves below its cap; that one's level holds from there
+    first = F.min(F.when(F.col("cap") > F.col("w") * F.col("level"), F.struct("place", "level"))).over(everything)
+    capped = F.coalesce(F.col("place") < first["place"], F.lit(True))
+    return leveled.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("w") * first["level"]).alias("target"))
 
 
 def uniform(*keys: Column) -> Column:

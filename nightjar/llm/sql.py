@@ -26,9 +26,11 @@ WITH d AS (
   SELECT *, (place % 3 + 1)::DOUBLE AS w, (source_size * 3)::DOUBLE AS cap FROM s
 ), l AS (
   SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+            / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY cap / w, source ASC NULLS LAST) AS rank FROM w
+), f AS (
+  SELECT min(rank) AS rank, arg_min(level, rank) AS level FROM l WHERE cap > w * level
 ), t AS (
-  SELECT source, source_size, CASE WHEN cap <= w * level THEN cap ELSE w * min(CASE WHEN cap > w * level THEN level END) OVER () END AS target FROM l
+  SELECT source, source_size, CASE WHEN coalesce(l.rank < f.rank, true) THEN cap ELSE w * f.level END AS target FROM l, f
 ), g AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS share FROM t
 ), p AS (
