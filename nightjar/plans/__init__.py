@@ -1,3 +1,3 @@
 """Registered queries: each module registers its own at import."""
 
-from nightjar.plans import cloud, conn, events, names, sources  # noqa: F401
+from nightjar.plans import cloud, conn, events, lists, names, sources  # noqa: F401
