@@ -10,6 +10,8 @@ the pieces of their length.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,37 +23,62 @@ from pyspark.sql import functions as F
 
 from nightjar.llm._common import global_row_number
 
-LIMIT, END_ID, CACHED = 4096, 1, 400_000
+LIMIT, END_ID, CACHED = 4096, 1, 500_000
 VOCABULARY = "word_bpe_49k.json"
 
-_tokenizers: dict[str, tuple] = {}
+class _WordIds(dict):
+    """word -> its ids as little-endian 32-bit bytes, encoded when first asked for.
+
+    Two generations: when the young one is full it becomes the old one, and words still in use move back from
+    there as they come up. So frequent words stay, and words seen once leave, at bounded memory.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha() and word.islower():  # a-z alone: the normaliser and the pre-tokenizer leave it as it is
+                found = [token.id for token in self.merge(word.decode())]
+            else:
+                found = self.encode(word.decode("utf-8", "replace"), None, False, False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self) >= CACHED // 2:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+_known: dict[str, _WordIds] = {}
+_COMBINING = re.compile("[\u0300-\u036f]")
+_LAST_STOP = re.compile(rb"([a-z])([,.])(?=[ \n])")
 
 
 def _token_bytes(path: str):
-    """text -> its ids as little-endian 32-bit bytes, for one vocabulary file; kept for a worker's lifetime.
+    """text -> its ids as bytes, for one vocabulary file; the words' ids are kept for a worker's lifetime.
 
     The vocabulary's pre-tokenizer never crosses ASCII white space, and its normaliser acts within words, so a
-    text's ids are its words' ids in turn, and each distinct word is encoded once.
+    text's ids are its words' ids in turn. It lower-cases, so A-Z are lowered first, which leaves fewer words; not
+    in texts with combining marks, which may compose with one case of a letter alone. A comma or full stop
+    that ends a word after a-z is a token apart in any case, so it is parted here.
     """
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _tokenizers[path]
+    if path not in _known:
+        _known[path] = _WordIds(path)
+    look_up = _known[path].__getitem__
 
     def encode(text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for lo in range(0, len(new), 10_000):
-                part = new[lo : lo + 10_000]
-                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        raw = text.encode("utf-8", "surrogatepass")
+        if not _COMBINING.search(text):
+            raw = _LAST_STOP.sub(rb"\1 \2", raw.lower())
+        return b"".join(map(look_up, raw.split()))
 
     return encode
 
