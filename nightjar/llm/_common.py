@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -79,16 +81,20 @@ def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFram
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
-def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 100, in_one_task: int = 10_000) -> DataFrame:
     """Links (a, b) of longs -> (node, component), component being the smallest node that can be reached.
 
     Each round draws a random order, every node hooks to the first of itself and its neighbours, and the links
     are contracted to the hooks. That leaves a constant share of the nodes on paths and one or two rounds' work
-    on stars, so the rounds grow with the logarithm of the nodes. Nodes without links are not returned.
+    on stars, so the rounds grow with the logarithm of the nodes. Once the contracted links are counted to be at
+    most ``in_one_task``, one task ends the work. Nodes without links are not returned.
     """
     live = pinned(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     hooks: list[DataFrame] = []
-    while not live.isEmpty():
+    while left := live.count():
+        if left <= in_one_task:
+            hooks.append(pinned(live.coalesce(1).mapInArrow(_settle, "node long, parent long")))
+            break
         if len(hooks) == max_rounds:
             raise RuntimeError("the components did not settle")
         drawn = lambda c: F.struct(F.xxhash64(c, F.lit(len(hooks))).alias("draw"), F.col(c).alias("node"))  # noqa: E731, B023
@@ -109,6 +115,15 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     return found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, smallest node of its component) for links that fit into a task."""
+    whole = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    a, b = whole["a"].to_numpy(), whole["b"].to_numpy()
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = forest(np.arange(len(nodes)), places[: len(a)], places[len(a) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "parent"])
+
+
 def forest(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Join the sets of left[i] and right[i], in place; parent[i] <= i, and roots are the smallest members."""
     while True:

@@ -20,8 +20,9 @@ def test_connected_components(spark):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     want = {x: find(x) for x in parent if any(x in l and l[0] != l[1] for l in links)}
-    got = {r.node: r.component for r in c.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == want
+    frame = spark.createDataFrame(links, "a long, b long")
+    for bound in (0, 40, 10_000):
+        assert {r.node: r.component for r in c.connected_components(frame, in_one_task=bound).collect()} == want
     assert c.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
