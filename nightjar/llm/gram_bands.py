@@ -1,0 +1,109 @@
+"""Candidate pairs of lines for an edit similarity, from their characters.
+
+A line's set of byte grams has MinHash keys of two to four minima each, by its length, and 64 minima give
+two bits each, the sketch. Lines that agree in a key are a candidate pair if their lengths allow the similarity and
+``LEAST_SHARE`` of the 64 places of their sketches agree. Long lines keep only the grams whose hash is in the lowest part, the same ones
+in every line; the part follows from the length, and a line near a change is dealt under both. Lines under ``SHORT``
+characters also have a key for each string that as many deletions leave as the similarity allows: two strings within
+d edits have one of d deletions in common, so such pairs all meet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import xxhash
+
+from nightjar.llm._common import forest, mix64
+
+BANDS, LEAST_SHARE, TIGHT, SHORT, SEED = 8, 36, 58, 20, 42
+#: From a length of so many characters: the minima of a key, and the part of the grams (2 to the power of minus this)
+_LEVELS = np.array([0, 40, 80, 200, 800, 3200, 12800])
+_ROWS, _PART = (2, 3, 3, 4, 4, 4, 4), (0, 0, 0, 2, 4, 6, 8)
+#: Bytes of a gram; longer lines need longer ones to differ
+_GRAM = (4, 4, 4, 5, 6, 6, 6)
+_XOR, _TIMES = (mix64(np.arange(k, k + 64, dtype=np.uint64)).astype(np.uint32)[:, None] for k in (1, 101))
+_TIMES |= np.uint32(1)
+_FOLD = (mix64(np.arange(201, 205, dtype=np.uint64)) | np.uint64(1))[:, None]
+_BAND = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+
+
+def levels(length: int, least: float) -> list[int]:
+    """The levels that a line may share with one that is no longer."""
+    return sorted({int(np.searchsorted(_LEVELS, x, "right")) - 1 for x in (length, int(np.ceil(length * least - 1e-9)))})
+
+
+def minhash(text: bytes, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a key for each band, the two words of the sketch). Zero bytes at each end make the ends count like the middle."""
+    size, rows = _GRAM[level], _ROWS[level]
+    ends = bytes(size - 1)
+    raw = np.frombuffer(ends + text + ends, dtype=np.uint8).astype(np.uint64)
+    n = len(raw) - size + 1
+    grams = raw[:n].copy()
+    for i in range(1, size):
+        grams <<= np.uint64(8)
+        grams |= raw[i : i + n]
+    grams = (mix64(grams + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+    if part := _PART[level]:
+        kept = grams[grams < np.uint32(1 << 32 - part)]
+        grams = (kept if len(kept) else grams.min(keepdims=True)) << np.uint32(part)
+    low = ((grams ^ _XOR) * _TIMES).min(axis=1)
+    keys = mix64((low[: rows * BANDS].reshape(rows, BANDS) * _FOLD[:rows]).sum(axis=0, dtype=np.uint64) + _BAND + np.uint64(level << 8))
+    bits = low * np.uint32(0x9E3779B1) >> np.uint32(30)
+    both = np.stack([bits & np.uint32(1), bits >> np.uint32(1)]).astype(np.uint8)
+    return keys, np.packbits(both, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def deletions(text: str, least: float) -> set[int]:
+    """A key for each string left by as many deletions as a partner under SHORT characters allows."""
+    n = len(text)
+    longest = min(SHORT - 1, int(n / least + 1e-9))
+    most = int((1 - least) * longest + 1e-9)
+    return {xxhash.xxh64_intdigest("".join(c).encode("utf-8", "surrogatepass"), SEED) for k in range(min(most, n) + 1) for c in combinations(text, n - k)}
+
+
+def _agreeing(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return 64 - np.bitwise_count(one[i] ^ one[j] | two[i] ^ two[j]).astype(np.int16)
+
+
+def pairs(key: np.ndarray, length: np.ndarray, one: np.ndarray, two: np.ndarray, exact: np.ndarray, least: float, big: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (i, j) among rows of equal keys; ``exact`` keys aren't held to the sketch.
+
+    In a group of more than ``big``, rows that a chain of pairs with ``TIGHT`` agreeing places connects are
+    paired along this chain only, so that a hot group of near copies yields a forest.
+    """
+    order = np.lexsort((length, key))
+    k, n, s, t, e = key[order], length[order], one[order], two[order], exact[order]
+    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[starts, len(k)])
+    end = np.repeat(starts + size, size)
+    hot = np.repeat(size > big, size) & ~e
+
+    def met(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        step = 1
+        while True:
+            at = at[at + step < end[at]]
+            at = at[n[at] >= least * n[at + step] - 1e-9]  # rows rise in length: later ones are too long as well
+            if not len(at):
+                return
+            agree = _agreeing(s, t, at, at + step)
+            ok = (agree >= LEAST_SHARE) | e[at]
+            if ok.any():
+                yield at[ok], at[ok] + step, agree[ok]
+            step += 1
+
+    for i, j, _ in met(np.flatnonzero(~hot)):
+        yield order[i], order[j]
+    for a, z in zip(starts[size > big].tolist(), (starts + size)[size > big].tolist(), strict=True):
+        if not hot[a]:
+            continue
+        parent = np.arange(z - a)
+        for i, j, agree in met(np.arange(a, z)):
+            apart = parent[i - a] != parent[j - a]
+            i, j, close = i[apart], j[apart], agree[apart] >= TIGHT
+            if len(i):
+                yield order[i], order[j]
+            if close.any():
+                forest(parent, i[close] - a, j[close] - a)
