@@ -17,11 +17,15 @@ LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) is a temporary folder set.
+    Where that is unset a temporary folder is set on one machine (local mode); on a cluster executors
+    could not read it, which is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return context.getCheckpointDir()
 
 
@@ -112,7 +116,8 @@ def connected_components(links: DataFrame, max_rounds: int = 100, in_one_task: i
     for hook in hooks[1:]:
         found = found.join(hook.select(F.col("node").alias("root"), F.col("parent").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     found = pinned(found)
-    return found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+    low = pinned(found.groupBy("root").agg(F.min("node").alias("component")))  # apart from the join, so that AQE can split a hot root
+    return found.join(low, "root").select("node", "component")
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
