@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from nightjar.llm._common import global_row_number
 
-LIMIT, END_ID, CACHED = 4096, 1, 500_000
+LIMIT, END_ID = 4096, 1
+#: Words kept by a worker, and the bytes of the longest one kept: together they bound the memory
+CACHED, LONGEST = 500_000, 64
 VOCABULARY = "word_bpe_49k.json"
 
 class _WordIds(dict):
@@ -40,6 +42,8 @@ class _WordIds(dict):
 
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        #: Added tokens are looked for before anything is lowered
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -50,6 +54,8 @@ class _WordIds(dict):
             else:
                 found = self.encode(word.decode("utf-8", "replace"), None, False, False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) > LONGEST:
+            return ids
         if len(self) >= CACHED // 2:
             self.old = dict(self)
             self.clear()
@@ -67,16 +73,18 @@ def _token_bytes(path: str):
 
     The vocabulary's pre-tokenizer never crosses ASCII white space, and its normaliser acts within words, so a
     text's ids are its words' ids in turn. It lower-cases, so A-Z are lowered first, which leaves fewer words; not
-    in texts with combining marks, which may compose with one case of a letter alone. A comma or full stop
+    in texts with combining marks, which may compose with one case of a letter alone, nor in texts with what may
+    be an added token, which stands in one case alone. A comma or full stop
     that ends a word after a-z is a token apart in any case, so it is parted here.
     """
     if path not in _known:
         _known[path] = _WordIds(path)
     look_up = _known[path].__getitem__
+    begins = sorted({re.match(r"[^\w\s]*", t).group() or t for t in _known[path].added})  # its signs, which have no case
 
     def encode(text: str) -> bytes:
         raw = text.encode("utf-8", "surrogatepass")
-        if not _COMBINING.search(text):
+        if not any(b in text for b in begins) and not _COMBINING.search(text):
             raw = _LAST_STOP.sub(rb"\1 \2", raw.lower())
         return b"".join(map(look_up, raw.split()))
 

@@ -1,9 +1,12 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
-Each view is a logistic model over binned features. Both start from the labelled sample; in every round each
+Each view is a logistic model over binned features. The text view's are numbers that describe the text and the evidence
+of its words and word pairs: these are hashed to ``GRAMS`` places, every place has the log ratio of its frequency in good
+and in bad documents, and a text has the mean over its places. For documents that the ratios were counted on, the
+evidence comes from ratios counted without their fold. Both views start from the labelled sample; in every round each
 gives the other its confident pseudo-labels on an unlabelled pool, where its confidence has held on a calibration
-fold. The views are then calibrated on that fold, combined there, and the combination scores every document by
-plain column arithmetic in one pass, without moving a text.
+fold. The views are then calibrated on that fold, combined there, and the combination scores every document in one
+pass, without moving a text.
 
 The fit reads bounded samples only: at most ``labelled`` labelled rows and ``pool`` unlabelled ones, both chosen by
 a hash of the id. Everything else covers all rows.
@@ -15,12 +18,56 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from nightjar.llm.sim_blocks import with_previous, word_hashes
 
 LABELLED, POOL, ROUNDS, BINS, CATEGORIES = 20_000, 20_000, 3, 12, 64
 CONFIDENT, TRUSTED, THRESHOLD, SEED = 0.97, 0.95, 0.5, 11
+GRAM_BITS, FOLDS = 11, 5
+GRAMS = 1 << GRAM_BITS
 _NUMBERS, _NAMES = ("m_chars",), ("m_source", "m_lang")
+_WORD = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
+
+
+def grams(text: str | None) -> np.ndarray:
+    """Which of the GRAMS places the words and pairs of neighbouring words of a whole text fall on."""
+    found, _ = word_hashes((text or "").lower().encode("utf-8", "surrogatepass"), _WORD)
+    held = np.zeros(GRAMS, bool)
+    for hashes in (found, with_previous(found, np.array([len(found)]))):
+        held[hashes >> np.uint64(64 - GRAM_BITS)] = True
+    return held
+
+
+@F.arrow_udf(T.BinaryType())
+def gram_bits(text: pa.Array) -> pa.Array:
+    """The places of `grams` as a bitset of fixed size."""
+    return pa.array([np.packbits(grams(t.as_py())).tobytes() for t in text], pa.binary())
+
+
+def evidence_of(ratios: np.ndarray) -> Column:
+    """A function of a text column: its mean log ratio."""
+
+    @F.arrow_udf(T.DoubleType())
+    def mean(text: pa.Array) -> pa.Array:
+        held = (grams(t.as_py()) for t in text)
+        return pa.array([float(ratios[h].mean()) if h.any() else 0.0 for h in held], pa.float64())
+
+    return mean
+
+
+def log_ratios(held: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The log ratio of each place's frequency in rows of label 1 and of label 0, smoothed by one row."""
+    up, down = held[y == 1].sum(axis=0, dtype=np.int64), held[y == 0].sum(axis=0, dtype=np.int64)
+    return np.log((up + 1) / ((y == 1).sum() + 2)) - np.log((down + 1) / ((y == 0).sum() + 2))
+
+
+def evidence(held: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """The mean ratio over each row's places, in blocks."""
+    return np.concatenate([np.zeros(0)] + [h.astype(np.float32) @ ratios.astype(np.float32) / np.maximum(h.sum(axis=1), 1) for h in (held[i : i + 4096] for i in range(0, len(held), 4096))])
 
 
 def text_view(text: Column) -> dict[str, Column]:
@@ -121,22 +168,49 @@ class Model(NamedTuple):
     joint: np.ndarray  # constant and a factor for each view's calibrated score
     platt: tuple[np.ndarray, np.ndarray]
     exchanged: tuple[int, int]
+    ratios: np.ndarray
+
+
+def _held(rows: pd.DataFrame) -> np.ndarray:
+    """The gram places of all rows, a byte each: GRAMS bytes a row of the bounded sample."""
+    return np.unpackbits(np.frombuffer(b"".join(rows["g"]), dtype=np.uint8).reshape(len(rows), GRAMS // 8), axis=1)
+
+
+def _with_evidence(rows: pd.DataFrame, values: np.ndarray) -> pd.DataFrame:
+    return rows.drop(columns="g").assign(t_grams=values)
 
 
 def co_train(known: pd.DataFrame, pool: pd.DataFrame, rounds: int = ROUNDS) -> Model | None:
-    """Fit on labelled rows (column y) and an unlabelled pool; None if a class is missing."""
+    """Fit on labelled rows (column y) and an unlabelled pool, both with gram bitsets (column g); None if a class is missing."""
     if known["y"].nunique() < 2:
         return None
-    fold = np.random.default_rng(SEED).permutation(len(known)) % 5 == 0
+    draw = np.random.default_rng(SEED)
+    fold = draw.permutation(len(known)) % 5 == 0
     if known["y"][fold].nunique() < 2 or known["y"][~fold].nunique() < 2:
         fold = np.zeros(len(known), bool)
     train, hold = known[~fold], known[fold] if fold.any() else known
-    text = [c for c in known.columns if c.startswith("t_")]
-    views = (View.over(known, text, []), View.over(known, list(_NUMBERS), list(_NAMES)))
-    xs, hs, us = ([v.matrix(d) for v in views] for d in (train, hold, pool))
+    held, held_hold, held_pool = _held(train), _held(hold), _held(pool)
+    part, part_pool = draw.permutation(len(train)) % FOLDS, draw.permutation(len(pool)) % FOLDS
+    text = [c for c in known.columns if c.startswith("t_")] + ["t_grams"]
+    meta = View.over(known, list(_NUMBERS), list(_NAMES))
     y, yh = train["y"].to_numpy(float), hold["y"].to_numpy(float)
     given = [np.full(len(pool), np.nan), np.full(len(pool), np.nan)]  # pseudo-labels that each view has been given
     for turn in range(rounds + 1):
+        told = ~np.isnan(given[0])
+
+        def counted(out: int | None) -> np.ndarray:
+            mine, theirs = (np.ones(len(y), bool), told) if out is None else (part != out, told & (part_pool != out))  # noqa: B023
+            return log_ratios(np.vstack([held[mine], held_pool[theirs]]), np.r_[y[mine], given[0][theirs]])  # noqa: B023
+
+        ratios = counted(None)
+        own, own_pool = evidence(held, ratios), evidence(held_pool, ratios)
+        for out in range(FOLDS):
+            apart = counted(out)
+            own[part == out] = evidence(held[part == out], apart)
+            own_pool[told & (part_pool == out)] = evidence(held_pool[told & (part_pool == out)], apart)
+        rows = [_with_evidence(train, own), _with_evidence(hold, evidence(held_hold, ratios)), _with_evidence(pool, own_pool)]
+        views = (View.over(rows[0], text, []), meta)
+        xs, hs, us = ([v.matrix(d) for v in views] for d in rows)
         weights = []
         for x, u, g in zip(xs, us, given, strict=True):
             have = ~np.isnan(g)
@@ -160,7 +234,7 @@ def co_train(known: pd.DataFrame, pool: pd.DataFrame, rounds: int = ROUNDS) -> M
     platt = tuple(fit_logistic(np.column_stack([np.ones(len(yh)), s]), yh) for s in scores)
     calibrated = [a[0] + a[1] * s for a, s in zip(platt, scores, strict=True)]
     joint = fit_logistic(np.column_stack([np.ones(len(yh)), *calibrated]), yh)
-    return Model(views, tuple(weights), joint, platt, tuple(int((~np.isnan(g)).sum()) for g in given))
+    return Model(views, tuple(weights), joint, platt, tuple(int((~np.isnan(g)).sum()) for g in given), ratios)
 
 
 def _bounded(ids: DataFrame, most: int) -> DataFrame:
@@ -171,7 +245,9 @@ def _bounded(ids: DataFrame, most: int) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_col: str = "quality", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with all its columns, and text_score, meta_score, score (each 0 to 1) and kept.
 
-    score is the calibrated probability that the label is 1; kept is score >= threshold. Nulls in any column are
+    score is the calibrated probability that the label is 1; kept is score >= threshold. The fit reads at most
+    ``labelled`` and ``pool`` ids, of an id that repeats in docs the row with the least hash of its text. Of sources and
+    languages the CATEGORIES most frequent of that sample are features, all others count alike. Nulls in any column are
     features of their own or count as empty; ids that repeat in docs are scored each, in labels the largest label
     holds. Without labels of both classes nothing can be learnt: scores are null and every document is kept. A
     column named like an output is replaced.
@@ -182,12 +258,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     taken = _bounded(marked.join(ids.distinct(), "_id", "left_semi"), labelled)
     free = _bounded(ids.join(marked, "_id", "left_anti").distinct(), pool)
     chosen = taken.unionByName(free.withColumn("y", F.lit(None).cast("int")))  # at most labelled + pool rows
-    drawn = docs.withColumn("_id", F.col(id_col).cast("long")).join(F.broadcast(chosen), "_id").select("_id", "y", *[c.alias(n) for n, c in features.items()])
-    sample = drawn.toPandas().sort_values("_id").drop_duplicates("_id")
+    drawn = docs.withColumn("_id", F.col(id_col).cast("long")).join(F.broadcast(chosen), "_id")
+    described = [c.alias(n) for n, c in features.items()] + [gram_bits(F.col(text_col)).alias("g")]
+    one = F.min(F.struct(F.xxhash64(text_col).alias("h"), *described)).alias("s")  # repeats go before the driver
+    sample = drawn.groupBy("_id", "y").agg(one).select("_id", "y", *[f"s.{n}" for n in [*features, "g"]]).toPandas().sort_values("_id")
     known, unknown = sample[sample["y"].notna()], sample[sample["y"].isna()]
     model = co_train(known.assign(y=known["y"].astype(int)).reset_index(drop=True), unknown.reset_index(drop=True), rounds) if len(known) else None
     if model is None:
         return docs.withColumns({c: F.lit(None).cast("double") for c in ("text_score", "meta_score", "score")} | {"kept": F.lit(True)})
+    features["t_grams"] = evidence_of(model.ratios)(F.col(text_col))
     worked = docs.withColumns({f"_f_{n}": c for n, c in features.items()})
     columns = {n: F.col(f"_f_{n}") for n in features}
     logits = [F.lit(float(a[0])) + F.lit(float(a[1])) * v.score(w, columns) for a, v, w in zip(model.platt, model.views, model.weights, strict=True)]

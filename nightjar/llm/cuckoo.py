@@ -165,6 +165,19 @@ def _groups_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chars, pa.int64()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["digest", "chars", "keep_id", "n"])
 
 
+def _groups(rows: DataFrame, live: int) -> DataFrame:
+    """(digest, keep_chars, keep_id, group_size) of rows (doc_id, digest, chars)."""
+    kind = "digest binary, chars long, keep_id long, n long"
+    partial = rows.select("digest", "chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")).mapInArrow(_grouped(live), kind)
+    dealt = partial.repartition(partitions(rows.sparkSession), "digest").sortWithinPartitions("digest")
+    return dealt.mapInArrow(_closing, kind).select("digest", F.col("chars").alias("keep_chars"), "keep_id", F.col("n").alias("group_size"))
+
+
+def _keys(id_col: str, text_col: str) -> dict[str, Column]:
+    text = F.col(text_col)
+    return {"doc_id": F.col(id_col).cast("long"), "digest": F.unhex(F.sha2(normalised(text), 256)), "chars": F.length(F.coalesce(text, F.lit(""))).cast("long")}
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", live: int = LIVE) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -173,18 +186,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     larger than all others and is kept, with a null keep_id, where no other row of its length or longer is there.
     No text leaves its task: only digests are shuffled. Other columns are not read.
     """
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"))
-    rows = pinned(rows)
-    kind = "digest binary, chars long, keep_id long, n long"
-    partial = rows.select("digest", "chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")).mapInArrow(_grouped(live), kind)
-    dealt = partial.repartition(partitions(docs.sparkSession), "digest").sortWithinPartitions("digest")
-    groups = dealt.mapInArrow(_closing, kind).select("digest", F.col("chars").alias("keep_chars"), "keep_id", F.col("n").alias("group_size"))
+    rows = pinned(docs.select(*[c.alias(n) for n, c in _keys(id_col, text_col).items()]))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return rows.join(_groups(rows, live), "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", live: int = LIVE) -> DataFrame:
+    """One row of docs, all columns, of each group of equal texts: the one that `exact_groups` keeps.
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, less those whose equal text stays elsewhere."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone.distinct(), id_col, "left_anti")
+    Rows are told apart by id and digest, so an id may bear several texts; of rows that repeat both, and of null ids, one stays.
+    """
+    keyed = docs.withColumns({f"_{n}": c for n, c in _keys(id_col, text_col).items()})
+    rows = pinned(docs.select(*[c.alias(n) for n, c in _keys(id_col, text_col).items()]))
+    kept = _groups(rows, live).select(F.col("digest").alias("_digest"), "keep_chars", "keep_id")
+    stay = keyed.join(kept, "_digest").filter(F.col("_doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_chars") == F.col("keep_chars")))
+    return stay.dropDuplicates(["_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,6 +11,7 @@ template's words that stand at their relative places is its score.
 from __future__ import annotations
 
 import math
+from string import ascii_lowercase, ascii_uppercase
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -65,8 +66,9 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words of a text, an empty array for none."""
-    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
+    """Words of a text with A-Z lowered, an empty array for none."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+    spaced = F.trim(F.regexp_replace(lowered, NOT_WORD, " "))
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 

@@ -44,7 +44,7 @@ def op7_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = pareto_mix.mix(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "weight", "copies")
 
 
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightjar.llm._common import connected_components, forest, partitions, pinned
+from nightjar.llm.near_pairs import by_group
 
 SHINGLE, WITHIN, BLOCKS, FANOUT, SEED = 3, 2, 6, 8, 42
 _BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -164,26 +165,19 @@ def links(distinct: DataFrame, within: int = WITHIN, blocks: int = BLOCKS) -> Da
     dealt = dealt.repartition(partitions(distinct.sparkSession), "combo", "key").sortWithinPartitions("combo", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        for part in by_group(batches, ["combo", "key"]):
+            combo, key, fp, node = (part[c].to_numpy() for c in ("combo", "key", "fp", "node"))
+            a, b = group_links(combo, key, fp.view(np.uint64), node, within)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = group_links(cols[0], cols[1], cols[2].view(np.uint64), cols[3], within)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return dealt.mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            held.append([batch[i].to_numpy(zero_copy_only=False) for i in range(4)])
-            if sum(len(h[0]) for h in held) < 100_000:
-                continue
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-            cut = len(last) if not last.any() else int(np.argmax(last))  # the last group may go on
-            held = [[c[cut:] for c in cols]]
-            if cut:
-                yield found([c[:cut] for c in cols])
-        if held:
-            yield found([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return dealt.mapInArrow(run, "a long, b long")
+def _named(signed: DataFrame, within: int, blocks: int) -> DataFrame:
+    """(fp, component) of the distinct fingerprints in signed: a fingerprint is its own node, whatever ids bear it."""
+    distinct = pinned(signed.select("fp").distinct().withColumn("node", F.col("fp")))
+    component = connected_components(links(distinct, within, blocks))
+    return distinct.join(component, "node", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, within: int = WITHIN, blocks: int = BLOCKS) -> DataFrame:
@@ -191,25 +185,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest doc_id reachable over links. Null and wordless texts have fingerprint zero and
     link like any other. A null doc_id counts as larger than all others, so component_id is null where no linked
-    row has an id; ids are taken to be under 2**62. Repeated rows are returned repeatedly. Other columns are not
-    read; an empty table gives an empty result.
+    row has an id. Repeated rows are returned repeatedly; rows of one id with several texts are each in the component of
+    their own text. Other columns are not read; an empty table gives an empty result.
     """
     signed = pinned(fingerprints(docs, id_col, text_col, shingle))
-    # a fingerprint without any id is a node numbered from the top
-    unnamed = F.lit(2**63 - 1) - F.shiftrightunsigned("fp", 2)
-    distinct = pinned(signed.groupBy("fp").agg(F.min("doc_id").alias("low")).select("fp", F.coalesce("low", unnamed).alias("node")))
-    component = connected_components(links(distinct, within, blocks))
-    smallest = F.coalesce("component", "node")
-    named = distinct.join(component, "node", "left").select("fp", F.when(smallest < 2**62, smallest).alias("component_id"))
-    return signed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = pinned(_named(signed, within, blocks))
+    lowest = signed.groupBy("fp").agg(F.min("doc_id").alias("low")).join(named, "fp").groupBy("component").agg(F.min("low").alias("component_id"))
+    of = pinned(named.join(lowest, "component").select("fp", "component_id"))  # apart from the last join, so that AQE can split a hot fingerprint
+    return signed.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """The rows of docs with all their columns, less those that are not their component's smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, within: int = WITHIN, blocks: int = BLOCKS) -> DataFrame:
+    """One row of docs, with all its columns, of each component: the smallest id (nulls last), then hash of the text.
 
-    Of rows that repeat this id (the same id, several texts) all stay, as an id names one document. Rows without
-    an id stay only if no row with an id is linked to them.
+    So a row without an id stays only if no row with an id is linked to it, and of rows that agree in id and
+    text any one stays. An id that bears texts of two components may stay in both.
     """
-    marked = near_duplicates(docs, id_col, text_col, **limits)
-    dropped = marked.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+
+    @F.arrow_udf("long")
+    def signature(text: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((simhash(t.as_py(), shingle) for t in text), dtype=np.uint64, count=len(text)).view(np.int64))
+
+    rank = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text"), F.xxhash64(F.lit(1), text_col).alias("text2"))
+    keyed = docs.withColumn("_fp", signature(F.col(text_col))).withColumn("_rank", rank)
+    slim = pinned(keyed.groupBy(F.col("_fp").alias("fp")).agg(F.min("_rank").alias("first")))
+    firsts = _named(slim, within, blocks).join(slim, "fp").groupBy("component").agg(F.min(F.struct("first", "fp")).alias("first"))
+    kept = firsts.select(F.col("first.fp").alias("_fp"), F.col("first.first").alias("_first"))
+    return keyed.join(kept, "_fp").filter(F.col("_rank") == F.col("_first")).dropDuplicates(["_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,21 +31,33 @@ WITH d AS (
   SELECT min(rank) AS rank, arg_min(level, rank) AS level FROM l WHERE cap > w * level
 ), t AS (
   SELECT source, source_size, CASE WHEN coalesce(l.rank < f.rank, true) THEN cap ELSE w * f.level END AS target FROM l, f
-), g AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS share FROM t
+), b AS (
+  SELECT *, length(bin(size)) AS weight FROM d
+), e AS (
+  SELECT t.source, t.source_size, t.target, b.weight, sum(b.size) AS words FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+  GROUP BY ALL HAVING sum(b.size) > 0
+), v AS (
+  SELECT *, (target - 3 * coalesce(sum(words) OVER (down ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+            / (sum(weight * words) OVER (down ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level, row_number() OVER down AS place
+  FROM e WINDOW down AS (PARTITION BY source ORDER BY weight DESC)
+), k AS (
+  SELECT *, min(CASE WHEN weight * level < 3 THEN place END) OVER own AS first_place, arg_min(level, place) FILTER (weight * level < 3) OVER own AS first_level
+  FROM v WINDOW own AS (PARTITION BY source)
+), h AS (
+  SELECT *, CASE WHEN coalesce(place < first_place, true) THEN 3.0::DOUBLE ELSE weight * first_level END AS share FROM k
 ), p AS (
-  SELECT *, least(floor(share), 3)::INTEGER AS whole FROM g
+  SELECT *, least(floor(share), 3)::INTEGER AS whole, target - (sum(least(floor(share), 3)::INTEGER * words) OVER (PARTITION BY source))::DOUBLE AS rest FROM h
 ), r AS (
-  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-         (('0x' || substr(md5('nightjar-mix-1|' || coalesce(d.doc_id::VARCHAR, '-') || '|' || d.size::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u,
+  SELECT b.doc_id, b.source, b.size, t.source_size, t.target, b.weight, coalesce(p.whole, 0) AS whole, coalesce(p.rest, 0) AS rest,
+         (('0x' || substr(md5('nightjar-mix-1|' || coalesce(b.doc_id::VARCHAR, '-') || '|' || b.size::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u,
          (p.share - p.whole) / (1 - (p.share - p.whole)) AS inclusion
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source LEFT JOIN p ON b.source IS NOT DISTINCT FROM p.source AND b.weight = p.weight
 ), o AS (
   SELECT *, CASE WHEN inclusion > 0 AND size > 0 THEN u / (1 - u) / inclusion END AS odds FROM r
 ), c AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds) ASC NULLS LAST, doc_id ASC NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto FROM o
 )
-SELECT doc_id, size, source_size, target, source,
+SELECT doc_id, size, source_size, target, source, weight::INTEGER AS weight,
        (whole + CASE WHEN odds IS NOT NULL AND rest > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END)::INTEGER AS copies,
        ((whole + CASE WHEN odds IS NOT NULL AND rest > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM c
@@ -56,7 +68,7 @@ _T = ", ".join(f"({i}, '{t.label}', {t.base}, {list(t.words)!r}, {t.key_at}, {li
 _OP6 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
-         regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
 ), t(i, label, base, words, key_at, key) AS (VALUES {_T}
 ), s AS (

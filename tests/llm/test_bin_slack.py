@@ -40,7 +40,7 @@ def test_plan_uses_every_piece_once():
 def test_word_cache_gives_the_tokenizers_ids():
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path(bs.VOCABULARY)))
     encode = bs._token_bytes(str(public_tokenizers.path(bs.VOCABULARY)))
-    texts = ["", " ", "Hello, world's end! it's 2024", "ÉCOLE école  nbsp x\x85y", "á ́ b", "ΣΑΣ ΟΔΟΣ. ς", "<|endoftext|> x<|startoftext|>y", "İstanbul ﬁ ½ 日本語 한국어 🙂🙂", "tab\tnl\nvt\x0bff\x0ccr\rfs\x1cgs\x1d", "don'T we'LL'RE", "0" * 500, "H\u0331 h\u0331 A\u030a, \u212a K", "end. of, it., x!, 's. a.b, don't, e\u0301. É. É, \n., a,\nb.", "word,", "word. "]
+    texts = ["", " ", "Hello, world's end! it's 2024", "ÉCOLE école  nbsp x\x85y", "á ́ b", "ΣΑΣ ΟΔΟΣ. ς", "<|endoftext|> x<|startoftext|>y", "<|ENDOFTEXT|> A <|StartOfText|>B <|endoftext|>", "a <| B", "y" * 90 + " " + "Z" * 90, "İstanbul ﬁ ½ 日本語 한국어 🙂🙂", "tab\tnl\nvt\x0bff\x0ccr\rfs\x1cgs\x1d", "don'T we'LL'RE", "0" * 500, "H\u0331 h\u0331 A\u030a, \u212a K", "end. of, it., x!, 's. a.b, don't, e\u0301. É. É, \n., a,\nb.", "word,", "word. "]
     for t in texts + [" ".join(texts)]:
         assert np.frombuffer(encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 

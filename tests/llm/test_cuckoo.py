@@ -58,3 +58,9 @@ def test_groups_against_brute_force(spark):
 def test_without_copies_keeps_one(spark):
     rows = [(1, "a b", "x", 1), (2, "ab", "y", 2), (3, "c", "z", 3)]
     assert sorted(r.doc_id for r in cuckoo.without_copies(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 3]
+
+
+def test_without_copies_tells_texts_of_one_id_apart(spark):
+    rows = [(1, "a b", "", 0), (2, "a  b", "", 0), (1, "unique", "", 0), (None, "null", "", 0), (None, "null", "", 0), (None, None, "", 0), (5, "", "", 0), (6, "same", "", 0), (6, "same", "", 0)]
+    got = cuckoo.without_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(2, "a  b"), (1, "unique"), (None, "null"), (5, ""), (6, "same")], key=repr)

@@ -64,27 +64,37 @@ def test_cells_and_partitions_do_not_matter(spark):
     assert a == b
 
 
-def test_tilt_prefers_heavier_rows(spark):
+def test_heavier_rows_are_likelier(spark):
     rows = [(i, "w w w w", "a" if i % 2 else "b", "x", "y") for i in range(2000)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    got = pm.mix(frame, tilt=F.when(F.col("doc_id") < 1000, 4.0).otherwise(1.0)).filter("source = 'a'").collect()
+    got = pm.mix(frame, weight=F.when(F.col("doc_id") < 1000, 4)).filter("source = 'a'").collect()
     low = sum(r.copies for r in got if r.doc_id < 1000)
     high = sum(r.copies for r in got if r.doc_id >= 1000)
-    assert low > 1.3 * high
+    assert 3.4 * high < low < 4.6 * high
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 4
+
+
+def test_longer_documents_are_likelier_by_default(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.choice([3, 200]), rng.choice("ab"), "x", "y") for i in range(3000)]
+    got = [r for r in pm.mix(spark.createDataFrame(rows, SCHEMA)).collect() if r.source == "a"]
+    mean = {n: sum(r.copies for r in got if r.size == n) / sum(r.size == n for r in got) for n in (3, 200)}
+    assert 3.2 < mean[200] / mean[3] < 4.8  # eight binary digits against two
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 200
 
 
 def test_mixed_repeats_rows(spark):
-    frame = spark.createDataFrame(sample(300), SCHEMA)
-    copies = {(r.doc_id, r.size, r.source): r.copies for r in pm.mix(frame).collect() if r.taken}
+    frame = spark.createDataFrame(sample(300) + [(77, "w w", "big", "x", "y")] * 101, SCHEMA)
+    want = {}
+    for r in pm.mix(frame).collect():
+        k = (r.doc_id, r.size, r.source)
+        want[k] = want.get(k, 0) + r.copies * (r.size > 0)
     rows = pm.mixed(frame).collect()
-    seen = {}
+    seen = dict.fromkeys(want, 0)
     for r in rows:
-        k = (r.doc_id, len(r.text.split()), r.source)
-        seen[k] = seen.get(k, 0) + 1
-    for k, n in copies.items():
-        if k != (5, 2, "b"):
-            assert seen[k] == n
-    assert rows[0].asDict().keys() == {"doc_id", "text", "source", "size", "target"}
+        seen[r.doc_id, len(r.text.split()), r.source] += 1
+    assert seen == want and 0 < want[77, 2, "big"] % 101
+    assert list(rows[0].asDict()) == frame.columns
 
 
 def test_empty(spark):

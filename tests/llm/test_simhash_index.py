@@ -95,9 +95,24 @@ def test_components_against_brute_force(spark):
     want = sorted(((r[0], format(f, "016x"), c) for r, f, c in zip(rows, fps, brute_components([r[0] for r in rows], fps), strict=True)), key=repr)
     got = sorted(map(tuple, si.near_duplicates(rows_of_texts(spark, rows)).collect()), key=repr)
     assert got == want
-    kept = [r.doc_id for r in si.keep_one(rows_of_texts(spark, rows)).collect()]
-    assert set(kept) >= {w[2] for w in want if w[2] is not None}
-    assert all(k is None or k in {w[2] for w in want} for k in kept)
+    kept = sorted(((r.doc_id is None, r.doc_id or 0) for r in si.keep_one(rows_of_texts(spark, rows)).collect()))
+    groups = {(w[2], None if w[2] is not None else w[1]) for w in want}
+    assert kept == sorted((g is None, g or 0) for g, _ in groups)
+
+
+def test_a_null_id_linked_to_an_id_goes_and_large_ids_are_named(spark):
+    far = 2**63 - 1
+    rows = [(far, "one text in two rows", "", 0), (None, "one text in two rows", "", 0), (None, "without any id", "", 0), (None, "without any id", "", 0), (far - 1, "another with a large id", "", 0)]
+    frame = rows_of_texts(spark, rows)
+    assert sorted((r.doc_id for r in si.keep_one(frame).collect()), key=repr) == sorted([far, None, far - 1], key=repr)
+    assert {(r.doc_id, r.component_id) for r in si.near_duplicates(frame).collect()} == {(far, far), (None, far), (None, None), (far - 1, far - 1)}
+
+
+def test_an_id_with_two_texts_joins_nothing(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    frame = rows_of_texts(spark, [(5, a, "", 0), (5, b, "", 0), (3, a, "", 0), (4, b, "", 0)])
+    assert sorted((r.doc_id, r.component_id) for r in si.near_duplicates(frame).collect()) == [(3, 3), (4, 4), (5, 3), (5, 4)]
+    assert sorted(r.doc_id for r in si.keep_one(frame).collect()) == [3, 4]
 
 
 def test_hot_groups_and_empty(spark):
