@@ -84,7 +84,7 @@ def test_longer_documents_are_likelier_by_default(spark):
 
 
 def test_mixed_repeats_rows(spark):
-    frame = spark.createDataFrame(sample(300) + [(77, "w w", "big", "x", "y")] * 101, SCHEMA)
+    frame = spark.createDataFrame(sample(300) + [(77, "w w", "rep", "x", "y")] * 101, SCHEMA)
     want = {}
     for r in pm.mix(frame).collect():
         k = (r.doc_id, r.size, r.source)
@@ -93,7 +93,7 @@ def test_mixed_repeats_rows(spark):
     seen = dict.fromkeys(want, 0)
     for r in rows:
         seen[r.doc_id, len(r.text.split()), r.source] += 1
-    assert seen == want and 0 < want[77, 2, "big"] % 101
+    assert seen == want and 0 < want[77, 2, "rep"] % 101
     assert list(rows[0].asDict()) == frame.columns
 
 
