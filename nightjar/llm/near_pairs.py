@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 
 from nightjar.llm._common import forest, mix64, partitions, pinned
 
-ROWS = "key long, node long, n int, fp long"
-HOT, BIG, TIGHT, _SUBSETS = 30_000, 64, 4, 24
+ROWS = "key long, node long, n int, fp long, fp2 long"
+HOT, BIG, TIGHT, NEAREST, _SUBSETS = 30_000, 24, 4, 3, 24
 _CHOSEN = np.array([sum(1 << int(b) for b in np.random.default_rng(7 + i).permutation(64)[:8]) for i in range(_SUBSETS)], dtype=np.uint64)
 
-Pairing = Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
+Pairing = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def by_group(batches: Iterator[pa.RecordBatch], by: list[str], enough: int = 100_000) -> Iterator[pa.Table]:
@@ -42,48 +42,71 @@ def by_group(batches: Iterator[pa.RecordBatch], by: list[str], enough: int = 100
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _connecting(n: np.ndarray, f: np.ndarray, g: np.ndarray, within: int, least: float, start: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect one group's rows, sorted by size: forests at a third, two thirds and all of the distance, and NEAREST rows of each."""
+    count = len(n)
+    levels = [within // 3, 2 * within // 3, within]
+    parents = [np.arange(count) for _ in levels]
+    near = np.full((count, NEAREST), -1)
+    gap = np.full((count, NEAREST), within + 1)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    rows, step = np.arange(count), 1
+    while True:
+        rows = rows[rows + step < count]
+        rows = rows[n[rows] >= least * n[rows + step] - 1e-9]
+        if not len(rows):
+            break
+        apart = (np.bitwise_count(f[rows] ^ f[rows + step]) + np.bitwise_count(g[rows] ^ g[rows + step])).astype(np.int64)
+        ok = (apart <= within) & (wanted[rows] | wanted[rows + step])
+        i, j, d = rows[ok], rows[ok] + step, apart[ok]
+        step += 1
+        for level, parent in zip(levels, parents, strict=True):
+            at = (d <= level) & (parent[i] != parent[j])
+            if at.any():
+                before = parent.copy()
+                forest(parent, i[at], j[at])
+                # of the pairs that join the same two sets one is enough
+                key = np.minimum(before[i[at]], before[j[at]]) * count + np.maximum(before[i[at]], before[j[at]])
+                one = np.unique(key, return_index=True)[1]
+                out.append((i[at][one], j[at][one]))
+        for a, b in ((i, j), (j, i)):
+            worst = gap[a].argmax(axis=1)
+            closer = d < gap[a, worst]
+            gap[a[closer], worst[closer]] = d[closer]
+            near[a[closer], worst[closer]] = b[closer]
+    row, place = np.nonzero(near >= 0)
+    out.append((row, near[row, place]))
+    left, right = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+    low, high = np.minimum(left, right), np.maximum(left, right)
+    once = np.unique(low * count + high)
+    return once // count + start, once % count + start
+
+
 def within_bits(within: int, least: float) -> Pairing:
-    """Pairs of rows of one key whose sizes allow the similarity ``least`` and whose fingerprints differ in few bits.
+    """Pairs of rows of one key whose sizes allow the similarity ``least`` and whose 128-bit fingerprints differ in few bits.
 
-    A fingerprint of zero stands for none: such rows pair by their sizes alone. In a group of more than BIG,
-    rows that a chain of pairs of TIGHT or fewer bits connects are paired along this chain only, so that a group
-    of near copies yields a forest.
+    A first half of zero stands for no fingerprint: such rows pair by their sizes alone, all of them.
     """
 
-    def pairs(key: np.ndarray, n: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(key: np.ndarray, n: np.ndarray, fp: np.ndarray, fp2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.lexsort((n, key))
-        k, n, f = key[order], n[order], fp[order]
+        k, n, f, g = key[order], n[order], fp[order], fp2[order]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
         size = np.diff(np.r_[starts, len(k)])
         end = np.repeat(starts + size, size)
         large = np.repeat(size > BIG, size) & (f != 0)
-
-        def met(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            step = 1
-            while True:
-                at = at[at + step < end[at]]
-                at = at[n[at] >= least * n[at + step] - 1e-9]  # rows rise in size: later ones are too large as well
-                if not len(at):
-                    return
-                apart = np.bitwise_count(f[at] ^ f[at + step])
-                ok = apart <= within
-                if ok.any():
-                    yield at[ok], at[ok] + step, apart[ok]
-                step += 1
-
-        for i, j, _ in met(np.flatnonzero(~large)):
-            yield order[i], order[j]
+        at, step = np.flatnonzero(~large), 1
+        while len(at):
+            at = at[at + step < end[at]]
+            at = at[n[at] >= least * n[at + step] - 1e-9]  # rows rise in size: later ones are too large as well
+            ok = np.bitwise_count(f[at] ^ f[at + step]) + np.bitwise_count(g[at] ^ g[at + step]) <= within
+            if ok.any():
+                yield order[at[ok]], order[at[ok] + step]
+            step += 1
         for a, z in zip(starts[size > BIG].tolist(), (starts + size)[size > BIG].tolist(), strict=True):
-            if not large[a:z].any():
-                continue
-            parent = np.arange(z - a)
-            for i, j, apart in met(a + np.flatnonzero(large[a:z])):
-                open_ = parent[i - a] != parent[j - a]
-                i, j, close = i[open_], j[open_], apart[open_] <= TIGHT
-                if len(i):
-                    yield order[i], order[j]
-                if close.any():
-                    forest(parent, i[close] - a, j[close] - a)
+            if large[a:z].any():
+                i, j = _connecting(n[a:z], f[a:z], g[a:z], within, least, a, large[a:z])
+                yield order[i], order[j]
 
     return pairs
 
@@ -97,38 +120,44 @@ def _paired(pairing: Pairing, hot: int | None):
             order = np.lexsort((node, key))
             k, m = key[order], node[order]
             order = order[np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])]]
-            key, node, n, fp = key[order], node[order], part["n"].to_numpy()[order], part["fp"].to_numpy()[order].view(np.uint64)
+            key, node, n = key[order], node[order], part["n"].to_numpy()[order]
+            fp, fp2 = (part[c].to_numpy()[order].view(np.uint64) for c in ("fp", "fp2"))
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.repeat(np.diff(np.r_[starts, len(key)]), np.diff(np.r_[starts, len(key)]))
             if hot is not None and (size > hot).any():
                 over = size > hot
-                yield _batch(node[over], key[over], n[over], fp[over], True)
+                yield _batch(node[over], key[over], n[over], fp[over], fp2[over], True)
                 size[over] = 0
             use = size > 1
-            key, node, n, fp = key[use], node[use], n[use], fp[use]
-            for i, j in pairing(key, n, fp):
-                if len(i):
-                    yield _batch(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), n[i], fp[i], False)
+            key, node, n, fp, fp2 = (x[use] for x in (key, node, n, fp, fp2))
+            found = [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]) for i, j in pairing(key, n, fp, fp2) if len(i)]
+            if found:  # a pair that meets under several keys of a part goes out once
+                a, b = np.concatenate(found, axis=1)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                none = np.zeros(int(once.sum()), np.uint64)
+                yield _batch(a[once], b[once], none.astype(np.int32), none, none, False)
 
     return run
 
 
-def _batch(a: np.ndarray, b: np.ndarray, n: np.ndarray, fp: np.ndarray, again: bool) -> pa.RecordBatch:
-    columns = [pa.array(a), pa.array(b), pa.array(n), pa.array(fp.view(np.int64)), pa.array(np.full(len(a), again))]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "fp", "again"])
+def _batch(a: np.ndarray, b: np.ndarray, n: np.ndarray, fp: np.ndarray, fp2: np.ndarray, again: bool) -> pa.RecordBatch:
+    columns = [pa.array(a), pa.array(b), pa.array(n), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(np.full(len(a), again))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "fp", "fp2", "again"])
 
 
 def _anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, key, n, fp = (batch[c].to_numpy() for c in ("a", "b", "n", "fp"))
+        node, key, n, fp, fp2 = (batch[c].to_numpy() for c in ("a", "b", "n", "fp", "fp2"))
         for i, chosen in enumerate(_CHOSEN):
             sub = mix64(mix64((fp.view(np.uint64) & chosen) + np.uint64(i)) ^ key.view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sub), pa.array(node), pa.array(n), pa.array(fp)], names=["key", "node", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(sub), pa.array(node), pa.array(n), pa.array(fp), pa.array(fp2)], names=["key", "node", "n", "fp", "fp2"])
 
 
 def candidates(rows: DataFrame, pairing: Pairing, hot: int = HOT) -> DataFrame:
     """Distinct (a, b), a < b, of nodes of ROWS that share a key and that ``pairing`` accepts."""
-    kind = "a long, b long, n int, fp long, again boolean"
+    kind = "a long, b long, n int, fp long, fp2 long, again boolean"
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "key").sortWithinPartitions("key")
     found = pinned(dealt.mapInArrow(_paired(pairing, hot), kind))
