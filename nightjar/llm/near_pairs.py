@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from nightjar.llm._common import forest, mix64, partitions, pinned
 
 ROWS = "key long, node long, n int, fp long, fp2 long"
-HOT, BIG, TIGHT, NEAREST, _SUBSETS = 30_000, 24, 4, 3, 24
+HOT, BIG, TIGHT, NEAREST, _SUBSETS = 30_000, 8, 4, 1, 24
 _CHOSEN = np.array([sum(1 << int(b) for b in np.random.default_rng(7 + i).permutation(64)[:8]) for i in range(_SUBSETS)], dtype=np.uint64)
 
 Pairing = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]

@@ -71,6 +71,16 @@ def votes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """64-bit SimHashes of consecutive runs of hashes, none empty: a bit is set if over half of a run's hashes set it."""
     out = np.empty(len(counts), np.uint64)
     ends = np.cumsum(counts)
+    # of one, two and three hashes the majority is plain bit arithmetic
+    one, two, three = (ends[counts == k] - k for k in (1, 2, 3))
+    if len(one) or len(two) or len(three):
+        out[counts == 1] = hashes[one]
+        out[counts == 2] = hashes[two] & hashes[two + 1]
+        a, b, c = hashes[three], hashes[three + 1], hashes[three + 2]
+        out[counts == 3] = a & b | c & (a | b)
+        if (many := counts > 3).any():
+            out[many] = votes(hashes[np.repeat(many, counts)], counts[many])
+        return out
     done = at = 0
     while done < len(counts):
         upto = max(done + 1, int(np.searchsorted(ends, at + (1 << 18), "right")))
