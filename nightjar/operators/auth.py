@@ -72,3 +72,41 @@ def firing_facts(decisions: DataFrame, keys: DataFrame, on: list[str]) -> DataFr
         F.count("*").alias("records"), F.count_if(F.col("outcome") == "denied").alias("denials"), F.countDistinct("actor").alias("accounts"),
         F.countDistinct(F.when(F.col("_live"), F.col("actor"))).alias("live_accounts"), F.countDistinct("host").alias("hosts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
+
+
+EDGE = ["source", "actor_namespace", "actor"]
+
+
+def findings(decisions: DataFrame, concentration_least: int = 100, landing_least: int = 6, spread_least: int = 3, volume_least: int = 18, signals: tuple[str, ...] = ("concentration", "landing", "host_spread", "source_volume", "account_volume")) -> DataFrame:
+    """One row per firing lens: signal, identity, severity, denials, landings (absorbed), overlaps (findings of one identity).
+
+    A concentration whose key also landed goes; a host spread absorbs the landings of its (source, namespace, actor);
+    a spread and the volume findings of its source or account name each other.
+    """
+    said = lambda *c: F.concat_ws(" ", *c)
+    denied = decisions.filter("outcome = 'denied'")
+    landed = landing_runs(decisions, landing_least)
+    packed = concentration(decisions, concentration_least).join(landed.select(*KEY).distinct(), KEY, "left_anti")
+    spread = denied.filter("source IS NOT NULL AND actor IS NOT NULL").groupBy(*EDGE).agg(F.countDistinct(F.lower("host")).alias("hosts"), F.count("*").alias("denials")).filter(F.col("hosts") >= spread_least)
+    taken = landed.join(spread.select("source", "actor").distinct(), ["source", "actor"], "left_semi")
+    absorbed = taken.groupBy("source", "actor").agg(F.count("*").alias("landings"))
+    alone = landed.join(taken.select(*KEY, "id"), [*KEY, "id"], "left_anti")
+    none = F.lit(0).cast("long").alias("landings")
+    key = said(*KEY).alias("identity")
+    parts = {
+        "concentration": packed.select(F.lit("concentration").alias("signal"), key, "denials", none, F.lit(None).cast("string").alias("of_source"), F.lit(None).cast("string").alias("of_actor")),
+        "landing": alone.select(F.lit("landing").alias("signal"), key, "denials", none, F.lit(None).cast("string").alias("of_source"), F.lit(None).cast("string").alias("of_actor")),
+        "host_spread": spread.join(absorbed, ["source", "actor"], "left").select(F.lit("host_spread").alias("signal"), said(*EDGE).alias("identity"), "denials", F.coalesce("landings", F.lit(0)).cast("long").alias("landings"), F.col("source").alias("of_source"), said("actor_namespace", "actor").alias("of_actor")),
+    }
+    for signal, columns, mark in (("source_volume", ["source"], "of_source"), ("account_volume", ["actor_namespace", "actor"], "of_actor")):
+        there = denied.filter(" AND ".join(f"{c} IS NOT NULL" for c in columns)).groupBy(*columns).agg(F.count("*").alias("denials")).filter(F.col("denials") >= volume_least)
+        names = {"of_source": F.lit(None).cast("string"), "of_actor": F.lit(None).cast("string")} | {mark: said(*columns)}
+        parts[signal] = there.select(F.lit(signal).alias("signal"), said(*columns).alias("identity"), "denials", none, *[c.alias(n) for n, c in names.items()])
+    rows = None
+    for signal in signals:
+        rows = parts[signal] if rows is None else rows.unionByName(parts[signal])
+    spreads, volumes = rows.filter("signal = 'host_spread'"), rows.filter("signal IN ('source_volume', 'account_volume')")
+    pairs = spreads.select(F.col("identity").alias("spread"), F.explode(F.array(F.struct(F.lit("source_volume").alias("signal"), F.col("of_source").alias("identity")), F.struct(F.lit("account_volume").alias("signal"), F.col("of_actor").alias("identity")))).alias("v")).select("spread", "v.signal", "v.identity")
+    linked = pairs.join(volumes.select("signal", "identity"), ["signal", "identity"])
+    both = linked.select("signal", "identity").unionByName(linked.select(F.lit("host_spread").alias("signal"), F.col("spread").alias("identity"))).groupBy("signal", "identity").agg(F.count("*").alias("overlaps"))
+    return rows.join(both, ["signal", "identity"], "left").select("signal", "identity", F.lit("MEDIUM").alias("severity"), "denials", "landings", F.coalesce("overlaps", F.lit(0)).cast("long").alias("overlaps"))

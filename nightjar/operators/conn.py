@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import ipaddress
+import re
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightjar.functions.net import HOME_NET, classify_addresses, v4_number
+from nightjar.functions.frames import counted
+from nightjar.functions.net import HOME_NET, classify_addresses, distinct_addresses, in_network, with_dimension
 from nightjar.operators.windows import mix, most_distinct_in_range
 
 SCAN_STATES = ("S0", "REJ", "RSTO", "RSTR", "SH", "OTH")
@@ -20,43 +22,69 @@ IOT_MULTICAST = ("224.", "239.", "255.255.255.255", "ff0", "ff1", "ff2")
 GIB = 1 << 30
 
 
-def flow_rules(spark, rules: Iterable[tuple[str, str, int | None, str | None]]) -> DataFrame:
-    """Numeric rules (address or network or '*', the same again, port, proto) as a table of address ranges."""
-
-    def span(text: str) -> tuple[int, int]:
-        if text == "*":
-            return 0, 2**32 - 1
-        net = ipaddress.ip_network(text, strict=False)
-        return int(net.network_address), int(net.broadcast_address)
-
-    rows = [(*span(a), *span(b), port, proto) for a, b, port, proto in rules]
-    return spark.createDataFrame(rows, "a_lo long, a_hi long, b_lo long, b_hi long, rule_port int, rule_proto string")
-
-
-def _hits() -> F.Column:
-    s, d = F.col("_s"), F.col("_d")
-    pair = (s.between(F.col("a_lo"), F.col("a_hi")) & d.between(F.col("b_lo"), F.col("b_hi"))) | (d.between(F.col("a_lo"), F.col("a_hi")) & s.between(F.col("b_lo"), F.col("b_hi")))
-    return pair & (F.col("rule_port").isNull() | (F.col("rule_port") == F.col("port"))) & (F.col("rule_proto").isNull() | (F.col("rule_proto") == F.col("proto")))
-
-
-def suppress_flows(conn: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows that no rule matches; a rule's two addresses match in either direction.
-
-    Rules are written by hand into a list, so their table is small and is broadcast by Spark's own size estimate.
-    """
-    numbered = conn.withColumn("_s", v4_number(F.col("src"))).withColumn("_d", v4_number(F.col("dst")))
-    return numbered.join(rules, _hits(), "left_anti").drop("_s", "_d")
-
-
-def suppression_counts(conn: DataFrame, rules: DataFrame) -> DataFrame:
+class FlowRule(NamedTuple):
+    """A hand-written rule: up to two addresses (exact, network or '*'), a port, a protocol, and the detectors that it is for (all if none)."""
+
+    one: str | None = None
+    other: str | None = None
+    port: int | None = None
+    proto: str | None = None
+    detectors: tuple[str, ...] = ()
+
+
+def _named_by(spec: str) -> F.Column:
+    """Whether a row of the address dimension is what a rule names: any, a network, or that very text."""
+    if spec == "*":
+        return F.lit(True)
+    if "/" not in spec:
+        return F.col("address") == spec
+    try:
+        return in_network(spec)
+    except ValueError:
+        return F.lit(False)
+
+
+def _matched(conn: DataFrame, rules: Iterable[FlowRule], detector: str | None) -> DataFrame:
+    """conn with `_hit`. Every distinct address gets the list of the rule sides that name it; rows compare two short lists."""
+    rules = [r for r in rules if not r.detectors or detector in r.detectors]
+    sides = sorted({spec for r in rules for spec in (r.one, r.other) if spec is not None and spec != "*"})
+    place = {spec: i for i, spec in enumerate(sides)}
+    listed = F.array_compact(F.array(*[F.when(_named_by(spec), F.lit(i)) for spec, i in place.items()])) if sides else F.array().cast("array<int>")
+    dimension = counted(distinct_addresses(conn, ["src", "dst"]).withColumn("sides", listed.cast("array<int>")))
+    rows = conn
+    for c in ("src", "dst"):
+        rows = with_dimension(rows, dimension, c, ["sides"], f"_{c}")
+        rows = rows.withColumn(f"_{c}", F.coalesce(F.col(f"_{c}.sides"), F.array().cast("array<int>")))
+    at = lambda c, spec: F.lit(True) if spec == "*" else F.array_contains(f"_{c}", place[spec])
+    hit = F.lit(False)
+    for r in rules:
+        own = F.lit(True)
+        if r.one is not None and r.other is not None:
+            own = (at("src", r.one) & at("dst", r.other)) | (at("src", r.other) & at("dst", r.one))
+        elif r.one is not None or r.other is not None:
+            spec = r.one if r.one is not None else r.other
+            own = at("src", spec) | at("dst", spec)
+        if r.port is not None:
+            own = own & (F.col("port") == r.port)
+        if r.proto is not None:
+            own = own & (F.col("proto") == r.proto)
+        hit = hit | F.coalesce(own, F.lit(False))
+    return rows.withColumn("_hit", hit)
+
+
+def suppress_flows(conn: DataFrame, rules: Iterable[FlowRule], detector: str | None = None) -> DataFrame:
+    """Rows that no rule matches. A rule's two addresses match in either direction, one address on either side."""
+    return _matched(conn, rules, detector).filter("NOT _hit").drop("_src", "_dst", "_hit")
+
+
+def suppression_counts(conn: DataFrame, rules: Iterable[FlowRule], detector: str | None = None) -> DataFrame:
     """One row: rows that the rules match, and their distinct sources."""
-    numbered = conn.withColumn("_s", v4_number(F.col("src"))).withColumn("_d", v4_number(F.col("dst")))
-    return numbered.join(rules, _hits(), "left_semi").agg(F.count("*").alias("rows"), F.countDistinct("src").alias("sources"))
+    return _matched(conn, rules, detector).filter("_hit").agg(F.count("*").alias("rows"), F.countDistinct("src").alias("sources"))
 
 
 def effective_local(conn: DataFrame, home_net: Iterable[str] = HOME_NET) -> DataFrame:
     """Adds src_facts, dst_facts and effective_local: local_orig where set, else whether src is at home."""
-    faced = classify_addresses(classify_addresses(conn, "src", home_net), "dst", home_net)
+    faced = classify_addresses(conn, ["src", "dst"], home_net)
     return faced.withColumn("effective_local", F.coalesce("local_orig", "src_facts.local", F.lit(False)))
 
 
@@ -126,7 +154,8 @@ def beacon_score(conn: DataFrame, floor: int = 20, bin_s: float = 30.0, band: tu
             return pd.DataFrame([], columns=out)
         at = int(inside[np.argmax(strength[inside])])
         reach = max(10, at // 20)
-        near = np.delete(strength, [0, at])[max(0, at - 1 - reach) : at - 1 + reach]
+        # the neighbours of the peak on both sides, without the constant term
+        near = np.r_[strength[max(1, at - reach) : at], strength[at + 1 : at + 1 + reach]]
         noise = np.median(near) if len(near) else 1.0
         return pd.DataFrame([(*key, period[at], strength[at] / strength.sum(), strength[at] / (noise + 1e-10))], columns=out)
 
@@ -180,19 +209,25 @@ def exfil_pairs(conn: DataFrame, min_bytes: int = GIB, min_share: float = 0.6, h
     return pairs.join(mixed, ["src", "dst"], "left").withColumn("orig_share", F.bround("share", 4)).drop("share")
 
 
-def exfil_pools(pairs: DataFrame, least: int = 4, v4_bits: int = 20) -> DataFrame:
-    """Surfaced pairs of one source folded where at least `least` destinations share a network; the rest stay alone."""
-    net = F.shiftright(v4_number(F.col("dst")), 32 - v4_bits)
-    keyed = pairs.withColumn("net", net)
+def exfil_pools(pairs: DataFrame, least: int = 4, v4_bits: int = 20, v6_bits: int = 40) -> DataFrame:
+    """Surfaced pairs of one source folded where at least `least` destinations share a network; the rest stay alone.
+
+    Members are listed as text, at most a network's surfaced destinations of one source.
+    """
+    found = counted(distinct_addresses(pairs, ["dst"]))
+    dotted = F.concat_ws(".", *[F.shiftright(F.shiftleft(F.shiftright("number", 32 - v4_bits), 32 - v4_bits), 8 * k).bitwiseAND(F.lit(255)).cast("string") for k in (3, 2, 1, 0)])
+    # an IPv6 network ends on a hex digit, so v6_bits is a multiple of 4
+    kept = F.rpad(F.substring("wide", 1, v6_bits // 4), 32, "0")
+    colons = F.concat_ws(":", *[F.substring(kept, 4 * i + 1, 4) for i in range(8)])
+    net = F.when(F.col("version") == 4, F.concat(dotted, F.lit(f"/{v4_bits}"))).when(F.col("version") == 6, F.concat(colons, F.lit(f"/{v6_bits}")))
+    keyed = pairs.join(found.select(F.col("address").alias("dst"), net.alias("net")), "dst", "left")
     pools = keyed.filter("net IS NOT NULL").groupBy("src", "net").agg(
         F.count("*").alias("destinations"), F.sum("orig_bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes"), F.sum("connections").alias("connections"),
-        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("members"),
     ).filter(F.col("destinations") >= least)
-    alone = keyed.join(pools.select("src", "net"), ["src", "net"], "left_anti")
-    shape = lambda df, tier, name: df.select("src", name.alias("target"), F.lit(tier).alias("tier"), "destinations", "orig_bytes", "resp_bytes", "connections", "first_ts", "last_ts")
-    base = F.shiftleft("net", 32 - v4_bits)
-    dotted = F.concat(F.concat_ws(".", *[F.shiftright(base, 8 * k).bitwiseAND(F.lit(255)).cast("string") for k in (3, 2, 1, 0)]), F.lit(f"/{v4_bits}"))
-    return shape(pools, "destination_pool", dotted).unionByName(shape(alone.withColumn("destinations", F.lit(1).cast("long")), "pair", F.col("dst")))
+    alone = keyed.join(pools.select("src", "net"), ["src", "net"], "left_anti").withColumns({"destinations": F.lit(1).cast("long"), "members": F.col("dst")})
+    shape = lambda df, tier, name: df.select("src", F.col(name).alias("target"), F.lit(tier).alias("tier"), "destinations", "orig_bytes", "resp_bytes", "connections", "first_ts", "last_ts", "members")
+    return shape(pools, "destination_pool", "net").unionByName(shape(alone, "pair", "dst"))
 
 
 def exfil_partial_facts(conn: DataFrame, min_bytes: int = GIB, min_share: float = 0.6, home_net: Iterable[str] = HOME_NET) -> DataFrame:
@@ -210,10 +245,10 @@ def exfil_partial_facts(conn: DataFrame, min_bytes: int = GIB, min_share: float
 
 def scan_rows(conn: DataFrame) -> DataFrame:
     """Rows that scans are looked for in: keys and times there, no icmp, link-local or discovery multicast."""
-    out = conn.withColumns({c: F.coalesce(c, F.lit("")) for c in ("src", "dst", "proto", "conn_state")}).filter("ts IS NOT NULL AND lower(proto) <> 'icmp'")
-    for prefix in ("fe80:", *IOT_MULTICAST):
-        out = out.filter(~F.col("dst").startswith(prefix))
-    return out.filter(~F.col("src").startswith("fe80:")).withColumn("is_scan", F.col("conn_state").isin(*SCAN_STATES))
+    out = conn.withColumns({c: F.coalesce(c, F.lit("")) for c in ("src", "dst", "proto", "conn_state")})
+    skipped = "^(?:" + "|".join(re.escape(p) for p in ("fe80:", *IOT_MULTICAST)) + ")"
+    fits = F.col("ts").isNotNull() & (F.lower("proto") != "icmp") & ~F.col("dst").rlike(skipped) & ~F.col("src").startswith("fe80:")
+    return out.filter(fits).withColumn("is_scan", F.col("conn_state").isin(*SCAN_STATES))
 
 
 def scan_vertical(conn: DataFrame, span: float = 3600.0, least: int = 15) -> DataFrame:

@@ -6,25 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightjar.functions.net import label_score, registrable_domain
+from nightjar.functions.net import label_score, name_domains, with_domain
 
 DAY = 86_400.0
 BLOCKED = ("gravity_blocked", "regex_blocked", "exact_blocked")
 
 
-def name_facts(df: DataFrame, column: str = "query", suffixes=None) -> DataFrame:
+def name_facts(df: DataFrame, column: str = "query", rules: DataFrame | None = None) -> DataFrame:
     """One row per distinct name: registrable domain, shape, and the largest label score left of it.
 
-    Names are distinct before they are scored: the scores cost far more than the join that brings them back.
+    Names are distinct before they are scored, and their labels are rows: a score is worked out once a label, in a plain projection.
     """
     names = df.select(F.lower(column).alias("name")).filter("name IS NOT NULL AND name <> ''").distinct()
-    reg = registrable_domain(F.col("name"), suffixes) if suffixes else registrable_domain(F.col("name"))
-    facts = names.withColumn("domain", reg)
-    labels = F.split(F.regexp_replace("name", r"\.+$", ""), r"\.")
+    facts = name_domains(names, rules).filter("domain IS NOT NULL")
     own = F.size(F.split("domain", r"\."))
-    left = F.slice(labels, 1, F.greatest(F.size(labels) - own, F.lit(0)))
-    scores = F.transform(F.when(F.size(left) == 0, F.slice(labels, 1, 1)).otherwise(left), label_score)
-    return facts.select("name", "domain", F.length("name").alias("length"), F.size(labels).alias("parts"), F.length("domain").alias("domain_length"), F.array_max(scores).alias("score"))
+    left = F.slice("labels", 1, F.greatest(F.size("labels") - own, F.lit(0)))
+    scored = F.when(F.size(left) == 0, F.slice("labels", 1, 1)).otherwise(left)
+    each = facts.select("name", "domain", F.size("labels").alias("parts"), F.explode(scored).alias("label")).withColumn("score", label_score(F.col("label")))
+    best = each.groupBy("name", "domain", "parts").agg(F.max("score").alias("score"))
+    return best.select("name", "domain", F.length("name").alias("length"), "parts", F.length("domain").alias("domain_length"), "score")
+
+
+def query_shapes(dns: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """One row per distinct query: length and labels without empty ones, its last two labels' lengths, the last label, its registrable domain's length."""
+    named = name_domains(dns.select(F.col("query").alias("name")).filter("name IS NOT NULL").distinct(), rules)
+    last = lambda k: F.coalesce(F.get("labels", F.size("labels") - k), F.lit(""))
+    return named.select(
+        F.col("name").alias("query"), F.length(F.array_join("labels", ".")).alias("length"), F.size("labels").alias("parts"), F.length("domain").alias("domain_length"),
+        F.length(last(1)).alias("suffix_len"), F.length(last(2)).alias("second_len"), last(1).alias("suffix"),
+    )
 
 
 def candidates(dns: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
@@ -72,9 +82,9 @@ def domain_dispositions(pihole: DataFrame) -> DataFrame:
 
 def enrich_with_blocks(dns: DataFrame, dispositions: DataFrame) -> DataFrame:
     """dns rows with their registrable domain's block ratio; names that no resolver saw have 0 and false."""
-    by_domain = dispositions.withColumn("domain", registrable_domain(F.col("query"))).groupBy("domain").agg(F.sum("blocked").alias("_b"), F.sum(F.col("forwarded") + F.col("cached") + F.col("blocked")).alias("_a"))
+    by_domain = with_domain(dispositions, "query").groupBy("domain").agg(F.sum("blocked").alias("_b"), F.sum(F.col("forwarded") + F.col("cached") + F.col("blocked")).alias("_a"))
     ratio = by_domain.select("domain", F.when(F.col("_a") > 0, F.col("_b") / F.col("_a")).otherwise(0.0).alias("block_ratio"), (F.col("_b") > 0).alias("was_blocked"))
-    joined = dns.withColumn("domain", registrable_domain(F.col("query"))).join(ratio, "domain", "left")
+    joined = with_domain(dns, "query").join(ratio, "domain", "left")
     return joined.withColumns({"block_ratio": F.coalesce("block_ratio", F.lit(0.0)), "was_blocked": F.coalesce("was_blocked", F.lit(False))})
 
 
@@ -98,7 +108,7 @@ def burst_route(cells: DataFrame, active: int = 4, peak: int = 400, times: int =
 
     The baseline is held as twice the median, in whole numbers: the sum of the two middle counts.
     """
-    daily = cells.withColumn("family", registrable_domain(F.col("name"))).groupBy("address", "family", "period").agg(F.sum("rows").alias("rows"))
+    daily = with_domain(cells, "name", "family").groupBy("address", "family", "period").agg(F.sum("rows").alias("rows"))
     top = Window.partitionBy("address", "family").orderBy(F.desc("rows"), F.desc("period"))
     rest = Window.partitionBy("address", "family").orderBy("rows", "period")
     ranked = daily.withColumn("_p", F.row_number().over(top))
@@ -111,7 +121,7 @@ def burst_route(cells: DataFrame, active: int = 4, peak: int = 400, times: int =
 
 def recurring(cells: DataFrame, least: int = 4) -> DataFrame:
     """One row: pairs, families and addresses of (address, family) pairs active in `least` periods or more."""
-    pairs = cells.withColumn("family", registrable_domain(F.col("name"))).groupBy("address", "family").agg(F.countDistinct("period").alias("periods")).filter(F.col("periods") >= least)
+    pairs = with_domain(cells, "name", "family").groupBy("address", "family").agg(F.countDistinct("period").alias("periods")).filter(F.col("periods") >= least)
     return pairs.agg(F.count("*").alias("pairs"), F.countDistinct("family").alias("families"), F.countDistinct("address").alias("addresses"))
 
 

@@ -12,7 +12,7 @@ from nightjar.operators.windows import mix, mode
 
 def eligible(ssl: DataFrame, home_net=HOME_NET) -> DataFrame:
     """Rows from home to a routable destination outside, with a finite time."""
-    faced = classify_addresses(classify_addresses(ssl, "src", home_net), "dst", home_net)
+    faced = classify_addresses(ssl, ["src", "dst"], home_net)
     return faced.filter("src_facts.local AND dst_facts.external AND ts IS NOT NULL AND NOT isnan(ts)").drop("src_facts", "dst_facts")
 
 

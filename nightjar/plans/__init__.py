@@ -1,3 +1,3 @@
 """Registered queries: each module registers its own at import."""
 
-from nightjar.plans import cloud, conn, cube, events, lists, names, sources  # noqa: F401
+from nightjar.plans import access, arrivals, cloud, conn, cube, events, findings, lists, mining, names, sources, zeek  # noqa: F401

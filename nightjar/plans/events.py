@@ -37,11 +37,13 @@ def burst_collapse(spark, sf_dir):
     return events.burst_collapse(syslog(spark, sf_dir), 600.0)[0]
 
 
-@register("family_fold", with_lanes("""r AS (SELECT * FROM syslog WHERE row_id % 10 = 0), q AS (SELECT *, row_number() OVER (PARTITION BY host, program ORDER BY ts, row_id) AS i FROM r), p AS (SELECT host, program, count(*) AS population FROM syslog GROUP BY ALL)
+@register("family_fold", with_lanes("""t AS (SELECT *, regexp_replace(message, ' value .*', '') AS template FROM syslog), c AS (SELECT template, count(*) AS n FROM t GROUP BY 1),
+  k AS (SELECT least((SELECT n FROM (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i FROM c) WHERE i = greatest(0, floor((SELECT count(*) FROM c) * 20 / 100)::BIGINT - 1)), 10) AS limit_), r AS (SELECT t.* FROM t JOIN c USING (template), k WHERE n <= limit_),
+  q AS (SELECT *, row_number() OVER (PARTITION BY host, program ORDER BY ts, row_id) AS i FROM r), p AS (SELECT host, program, count(*) AS population FROM syslog GROUP BY ALL)
   SELECT host, program, count(*) AS rare, min(ts) AS first_ts, max(ts) AS last_ts, string_agg(message, chr(10) ORDER BY i) FILTER (i <= 20) AS sample, any_value(population) AS population, CASE WHEN count(*) >= 4 THEN 'family' ELSE 'single' END AS kind FROM q JOIN p USING (host, program) GROUP BY host, program""", "syslog"))
 def family_fold(spark, sf_dir):
-    lane = syslog(spark, sf_dir)
-    return events.family_fold(lane.filter(F.expr("row_id % 10 = 0")), lane)
+    lane = syslog(spark, sf_dir).withColumn("template", F.regexp_replace("message", " value .*", ""))
+    return events.family_fold(events.template_rarity(lane, pct=20.0), lane)
 
 
 _ANCH = "a AS (SELECT * FROM syslog WHERE program = 'error'), " + _SESS.format(gap=3600, rows="a") + ", e AS (SELECT host, session AS event, count(*) AS anchors, min(ts) AS start, max(ts) AS \"end\" FROM s GROUP BY host, session)"

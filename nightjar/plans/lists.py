@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightjar.functions.net import registrable_domain
-from nightjar.operators import digest, lists
-from nightjar.plans.projections import cloudtrail, conn, dns, pihole, read, syslog, with_lanes
+from nightjar.operators import digest, lists, names
+from nightjar.plans.projections import cloudtrail, conn, dns, domains_sql, pihole, read, syslog, with_lanes
 from nightjar.registry import register
 
-DOMAINS = ("*.d3.test", "re:^www\\.d[0-2]", "d7.*", "re:(")
-_DOMAIN_HIT = "regexp_matches(lower(query), '(^.*\\.d3\\.test$)|(^www\\.d[0-2])|(^d7\\..*$)') OR regexp_matches('x.' || lower(query), '(^.*\\.d3\\.test$)|(^www\\.d[0-2])|(^d7\\..*$)')"
+DOMAINS = ("*.d3.lan", "re:^www\\.d[0-2]", "d7.*", "re:(")
+_DOMAIN_HIT = "regexp_matches(lower(query), '(^.*\\.d3\\.lan$)|(^www\\.d[0-2])|(^d7\\..*$)') OR regexp_matches('x.' || lower(query), '(^.*\\.d3\\.lan$)|(^www\\.d[0-2])|(^d7\\..*$)')"
 
 
 @register("suppress_domains", with_lanes(f"SELECT row_id, query FROM dns WHERE NOT ({_DOMAIN_HIT})", "dns"))
@@ -23,10 +22,10 @@ def suppress_hosts(spark, sf_dir):
     return lists.suppress(syslog(spark, sf_dir), "host", ("h1", "re:^h3$"), apex=False).select("row_id", "host")
 
 
-@register("cross_feed_arbitrate", with_lanes("SELECT row_id, host FROM syslog WHERE host NOT IN (SELECT DISTINCT host FROM syslog WHERE program = 'error' AND row_id < 8)", "syslog"))
+@register("cross_feed_arbitrate", with_lanes("SELECT row_id, host FROM syslog WHERE host NOT IN (SELECT DISTINCT host FROM syslog WHERE program = 'error' AND message LIKE '%7')", "syslog"))
 def cross_feed_arbitrate(spark, sf_dir):
     lane = syslog(spark, sf_dir)
-    return lists.arbitrate(lane.filter("program = 'error' AND row_id < 8").withColumn("host", F.upper("host")), lane).select("row_id", "host")
+    return lists.arbitrate(lane.filter("program = 'error' AND message LIKE '%7'").withColumn("host", F.upper("host")), lane).select("row_id", "host")
 
 
 @register("default_window", with_lanes("SELECT row_id, ts FROM conn WHERE ts >= (SELECT max(ts) FROM conn) - 604800", "conn"))
@@ -83,7 +82,7 @@ def digest_cloudtrail(spark, sf_dir):
     return out
 
 
-@register("query_shape", with_lanes("SELECT DISTINCT query, length(query) AS length, len(string_split(query, '.')) AS parts, length(string_split(query, '.')[2] || '.test') AS domain_length FROM dns", "dns"))
+@register("query_shape", with_lanes(f"""{domains_sql('dns', 'query')} SELECT name AS query, length(array_to_string(l, '.')) AS length, len(l) AS parts, length(domain) AS domain_length,
+  length(l[len(l)]) AS suffix_len, CASE WHEN len(l) > 1 THEN length(l[len(l) - 1]) ELSE 0 END AS second_len, l[len(l)] AS suffix FROM domains""", "dns"))
 def query_shape(spark, sf_dir):
-    names = dns(spark, sf_dir).select("query").distinct()
-    return names.select("query", F.length("query").alias("length"), F.size(F.split("query", r"\.")).alias("parts"), F.length(registrable_domain(F.col("query"))).alias("domain_length"))
+    return names.query_shapes(dns(spark, sf_dir))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightjar.functions.net import label_score, registrable_domain
+from nightjar.functions.net import label_score, name_domains
 from nightjar.operators import names as ops
-from nightjar.plans.projections import dns, pihole, read, with_lanes
+from nightjar.plans.projections import dns, domains_sql, pihole, read, with_lanes
 from nightjar.registry import register
 
 END = 1_706_600_000.0
@@ -14,8 +14,8 @@ END = 1_706_600_000.0
 _SCORE = """(1.5 * (-(list_sum(list_transform(list_distinct(string_split(@, '')), lambda c: (len(list_filter(string_split(@, ''), lambda x: x = c)) / length(@)::DOUBLE) * log2(len(list_filter(string_split(@, ''), lambda x: x = c)) / length(@)::DOUBLE))))) / 5.169925001442312
   + 0.5 * len(list_distinct(string_split(@, ''))) / length(@)::DOUBLE + len(regexp_extract_all(@, '[0-9]')) / length(@)::DOUBLE - 0.5 * len(regexp_extract_all(@, '[aeiou]')) / length(@)::DOUBLE
   - 0.3 * list_reduce(list_transform(range(1, length(@) + 1), lambda i: len(list_filter(range(i, length(@) + 1), lambda j: substr(@, i, j - i + 1) = repeat(substr(@, i, 1), j - i + 1)))), lambda a, b: greatest(a, b)) / length(@)::DOUBLE)"""
-_FACTS = f"""n AS (SELECT DISTINCT lower(query) AS name FROM dns), facts AS (SELECT name, string_split(name, '.')[2] || '.' || string_split(name, '.')[3] AS domain, string_split(name, '.')[1] AS lab FROM n),
-f AS (SELECT name, domain, {_SCORE.replace('@', 'lab')} AS score FROM facts)"""
+_FACTS = f"""{domains_sql('dns', 'lower(query)')}, lb AS (SELECT name, domain, unnest(CASE WHEN len(l) > len(string_split(domain, '.')) THEN l[1:len(l) - len(string_split(domain, '.'))] ELSE l[1:1] END) AS lab FROM domains),
+f AS (SELECT name, domain, max({_SCORE.replace('@', 'lab')}) AS score FROM lb GROUP BY ALL)"""
 _CAND = "c AS (SELECT lower(query) AS name, count(*) AS rows, count(DISTINCT src) AS sources, count(*) FILTER (rcode = 3) AS nxdomain, min(ts) AS first_ts, max(ts) AS last_ts FROM dns GROUP BY lower(query))"
 
 
@@ -29,11 +29,15 @@ def max_label_score(spark, sf_dir):
     return ops.name_facts(dns(spark, sf_dir)).select("name", "domain", "length", F.bround("score", 6).alias("score"))
 
 
-@register("registrable_domain", r"""WITH h AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages), s AS (SELECT host, string_split(host, '.') AS l FROM h WHERE host <> '')
-  SELECT host, CASE WHEN len(l) = 1 THEN host ELSE l[len(l) - 1] || '.' || l[len(l)] END AS domain, len(l) AS parts FROM s""")
+_HOSTS = "h AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages), a AS (SELECT host FROM h WHERE host <> '' UNION ALL SELECT regexp_replace(host, '[^.]+$', 'com.tr') FROM h WHERE host <> '' UNION ALL SELECT host || '.lan.' FROM h WHERE host <> '' UNION ALL SELECT 'www.ck' FROM h WHERE host <> '')"
+
+
+@register("registrable_domain", f"WITH {_HOSTS}, {domains_sql('a', 'host')} SELECT name AS host, domain, len(l) AS parts FROM domains")
 def registrable(spark, sf_dir):
     hosts = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host")).filter("host <> ''").distinct()
-    return hosts.select("host", registrable_domain(F.col("host")).alias("domain"), F.size(F.split("host", r"\.")).alias("parts"))
+    forms = F.array(F.col("host"), F.regexp_replace("host", r"[^.]+$", "com.tr"), F.concat("host", F.lit(".lan.")), F.lit("www.ck"))
+    names = hosts.select(F.explode(forms).alias("name")).distinct()
+    return name_domains(names).select(F.col("name").alias("host"), "domain", F.size("labels").alias("parts"))
 
 
 @register("dns_candidate_enrich", with_lanes(f"""{_CAND}, m AS (SELECT lower(query) AS name, rcode, count(*) AS n FROM dns GROUP BY ALL), j AS (SELECT name, '{{' || string_agg('"' || rcode || '":' || n, ',' ORDER BY rcode::VARCHAR) || '}}' AS rcodes FROM m GROUP BY name)
@@ -64,8 +68,9 @@ def pihole_domain_agg(spark, sf_dir):
     return ops.domain_dispositions(pihole(spark, sf_dir))
 
 
-@register("enrich_dns_with_blocks", with_lanes(f"""{_DISP}, b AS (SELECT split_part(query, '.', 2) || '.test' AS domain, sum(blocked) AS b, sum(forwarded + cached + blocked) AS a FROM d GROUP BY 1)
-  SELECT row_id, split_part(query, '.', 2) || '.test' AS domain, coalesce(b.b / nullif(b.a, 0)::DOUBLE, 0) AS block_ratio, coalesce(b.b > 0, false) AS was_blocked FROM (SELECT row_id, replace(query, '.d', '.fam') AS query FROM dns) x LEFT JOIN b ON b.domain = split_part(x.query, '.', 2) || '.test'""", "pihole", "dns"))
+@register("enrich_dns_with_blocks", with_lanes(f"""{_DISP}, x AS (SELECT row_id, replace(query, '.d', '.fam') AS query FROM dns), y AS (SELECT query FROM x UNION ALL SELECT query FROM d), {domains_sql('y', 'query')},
+  b AS (SELECT domain, sum(blocked) AS b, sum(forwarded + cached + blocked) AS a FROM d JOIN domains ON name = query GROUP BY 1)
+  SELECT row_id, domain, coalesce(b.b / nullif(b.a, 0)::DOUBLE, 0) AS block_ratio, coalesce(b.b > 0, false) AS was_blocked FROM x JOIN domains ON name = query LEFT JOIN b USING (domain)""", "pihole", "dns"))
 def enrich_dns_with_blocks(spark, sf_dir):
     named = dns(spark, sf_dir).withColumn("query", F.expr("replace(query, '.d', '.fam')"))
     return ops.enrich_with_blocks(named, ops.domain_dispositions(pihole(spark, sf_dir))).select("row_id", "domain", "block_ratio", "was_blocked")
@@ -89,14 +94,14 @@ def block_cells(spark, sf_dir):
     return _cells(spark, sf_dir)
 
 
-@register("burst_route", with_lanes(f"""{_CELLS}, d AS (SELECT address, split_part(name, '.', 2) || '.test' AS family, period, sum(rows)::BIGINT AS rows FROM cells GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY address, family ORDER BY rows DESC, period DESC) AS p, count(*) OVER (PARTITION BY address, family) AS active_periods FROM d),
+@register("burst_route", with_lanes(f"""{_CELLS}, {domains_sql('cells', 'name')}, d AS (SELECT address, domain AS family, period, sum(rows)::BIGINT AS rows FROM cells JOIN domains USING (name) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY address, family ORDER BY rows DESC, period DESC) AS p, count(*) OVER (PARTITION BY address, family) AS active_periods FROM d),
   o AS (SELECT address, family, (2 * median(rows))::BIGINT AS twice_median FROM r WHERE p > 1 GROUP BY ALL)
   SELECT address, family, period AS peak_period, rows AS peak, twice_median, active_periods FROM r JOIN o USING (address, family) WHERE p = 1 AND active_periods >= 2 AND rows >= 2 AND 2 * rows >= 2 * twice_median""", "pihole"))
 def burst_route(spark, sf_dir):
     return ops.burst_route(_cells(spark, sf_dir), active=2, peak=2, times=2)
 
 
-@register("recurring_count", with_lanes(f"{_CELLS}, p AS (SELECT address, split_part(name, '.', 2) AS family FROM cells GROUP BY ALL HAVING count(DISTINCT period) >= 4) SELECT count(*) AS pairs, count(DISTINCT family) AS families, count(DISTINCT address) AS addresses FROM p", "pihole"))
+@register("recurring_count", with_lanes(f"{_CELLS}, {domains_sql('cells', 'name')}, p AS (SELECT address, domain AS family FROM cells JOIN domains USING (name) GROUP BY ALL HAVING count(DISTINCT period) >= 4) SELECT count(*) AS pairs, count(DISTINCT family) AS families, count(DISTINCT address) AS addresses FROM p", "pihole"))
 def recurring_count(spark, sf_dir):
     return ops.recurring(_cells(spark, sf_dir))
 

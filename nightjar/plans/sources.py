@@ -47,14 +47,26 @@ def scan_syslog_text(spark, sf_dir):
     return text.syslog_text(_lines(lane, value), AS_OF).select("ts", "host", "program", "message")
 
 
-@register("scan_dnsmasq_text", with_lanes("SELECT floor(ts)::DOUBLE AS ts, src, query, event_type, qtype, 'pi' AS host FROM pihole", "pihole"))
+#: Resolver lines by row_id: what stands for each event type, and what is to be read from it
+_SAID = (
+    ("query", "'query[' || qtype || '] ' || query || ' from ' || src"), ("dhcp", "'DHCP 10.0.0.7 is box'"), ("dnssec_query", "'dnssec-query[DS] ' || query || ' to 9.9.9.9'"), ("forwarded", "'forwarded ' || query || ' to 9.9.9.9'"),
+    ("reply", "'reply ' || query || ' is <CNAME>'"), ("cached", "'cached-stale ' || query || ' is 1.2.3.4'"), ("gravity_blocked", "'gravity blocked (cname) ' || query || ' is 0.0.0.0'"), ("special", "'special domain ' || query || ' is NXDOMAIN'"),
+    ("pihole_hostname", "'Pi-hole hostname ' || query || ' is 10.0.0.2'"), ("regex_blocked", "'regex denied ' || query || ' is 0.0.0.0'"), ("regex_blocked", "'exactly blacklisted ' || query || ' is 0.0.0.0'"), ("regex_blocked", "'blacklisted ' || query || ' is 0.0.0.0'"),
+    ("config", "'/etc/hosts ' || query || ' is 10.0.0.3'"), ("validation", "'validation result is SECURE'"), ("unknown", "'started, version 2.90'"),
+)
+_KIND = "CASE WHEN event_type = 'query' THEN 'query' ELSE " + "CASE row_id % 15 " + " ".join(f"WHEN {i} THEN '{k if k != 'query' else 'forwarded'}'" for i, (k, _) in enumerate(_SAID)) + " END END"
+
+
+@register("scan_dnsmasq_text", with_lanes(f"""k AS (SELECT *, {_KIND} AS kind FROM pihole)
+  SELECT floor(ts)::DOUBLE AS ts, src, CASE WHEN kind NOT IN ('dhcp', 'validation', 'unknown') THEN query END AS query, kind AS event_type, CASE kind WHEN 'query' THEN qtype WHEN 'dnssec_query' THEN 'DS' END AS qtype,
+  CASE WHEN row_id % 4 = 0 THEN 'box' ELSE 'pi' END AS host FROM k""", "pihole"))
 def scan_dnsmasq_text(spark, sf_dir):
     lane = pihole(spark, sf_dir)
-    said = (
-        F.when(F.col("event_type") == "query", F.concat(F.lit("query["), "qtype", F.lit("] "), "query", F.lit(" from "), "src")).when(F.col("event_type") == "forwarded", F.concat(F.lit("forwarded "), "query", F.lit(" to 9.9.9.9")))
-        .when(F.col("event_type") == "cached", F.concat(F.lit("cached "), "query", F.lit(" is 1.2.3.4"))).otherwise(F.concat(F.lit("gravity blocked "), "query", F.lit(" is 0.0.0.0")))
-    )
-    return text.dnsmasq_text(_lines(lane, F.concat(_stamp(F.col("ts")), F.lit(" pi dnsmasq[77]: "), said)), AS_OF)
+    other = "CASE row_id % 15 " + " ".join(f"WHEN {i} THEN {said if kind != 'query' else _SAID[3][1]}" for i, (kind, said) in enumerate(_SAID)) + " END"
+    said = F.when(F.col("event_type") == "query", F.expr(_SAID[0][1])).otherwise(F.expr(other))
+    host = F.expr("if(row_id % 4 = 0, ' ', ' pi ')")
+    junk = lane.select(F.lit("/logs/box.log").alias("file"), F.expr("element_at(array('# Jan  1 dnsmasq[1]: x', '', 'Jan  1 00:00:00 pi sshd[3]: query[A] a from b'), cast(row_id % 3 + 1 as int))").alias("value"))
+    return text.dnsmasq_text(_lines(lane, F.concat(_stamp(F.col("ts")), host, F.lit("dnsmasq[77]: "), said)).unionByName(junk), AS_OF)
 
 
 @register("scan_journal_json", with_lanes("SELECT floor(ts * 1000) / 1000 AS ts, host, program, message AS raw, program || '[*]: ' || message AS message FROM syslog", "syslog"))

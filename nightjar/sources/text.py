@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,9 +78,10 @@ def zeek_tsv(lines: DataFrame, wire: dict[str, str], lane: str) -> DataFrame:
 
 def _month_day_time(text: Column, year: Column) -> Column:
     """'Jan  2 03:04:05' of a year as epoch seconds in UTC."""
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(text, 1, 3))
-    day, time = F.trim(F.substring(text, 5, 2)).try_cast("int"), F.split(F.substring(text, 8, 8), ":")
-    date = F.try_to_timestamp(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), F.lit("yyyy-MM-dd"))
+    parts = F.split(text, r"\s+")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.get(parts, F.lit(0)))
+    time = F.split(F.get(parts, F.lit(2)), ":")
+    date = F.try_to_timestamp(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.get(parts, F.lit(1)), 2, "0")), F.lit("yyyy-MM-dd"))
     return F.unix_seconds(date).cast("double") + time[0].try_cast("int") * 3600 + time[1].try_cast("int") * 60 + time[2].try_cast("int")
 
 
@@ -108,36 +113,40 @@ def syslog_text(lines: DataFrame, as_of: float) -> DataFrame:
     return usable_ts(conform(rows, "syslog"), keep_null=True)
 
 
-# Resolver log grammars in order, first match wins.
+# Resolver log grammars in order, first match wins: (event type, pattern, group of the name or 0 for none).
 DNSMASQ = (
-    ("query", r"query\[([A-Za-z0-9=]+)\] (\S+) from (\S+)"),
-    ("forwarded", r"forwarded (\S+) to (\S+)"),
-    ("gravity_blocked", r"gravity blocked (\S+) is "),
-    ("regex_blocked", r"regex blacklisted (\S+) is |regex blocked (\S+) is "),
-    ("exact_blocked", r"exactly (?:blacklisted|denied|blocked) (\S+) is "),
-    ("cached", r"cached(?:-stale)? (\S+) is "),
-    ("special", r"special domain (\S+) is "),
-    ("reply", r"reply (\S+) is "),
-    ("config", r"config (\S+) is "),
-    ("hosts", r"/\S+ (\S+) is "),
+    ("query", r"query\[([^\]]+)\]\s+(\S+)\s+from\s+(\S+)", 2),
+    ("dhcp", r"DHCP\s+\S+\s+is\s+\S+", 0),
+    ("dnssec_query", r"dnssec-query\[([^\]]+)\]\s+(\S+)\s+to\s+\S+", 2),
+    ("forwarded", r"forwarded\s+(\S+)\s+to\s+\S+", 1),
+    ("reply", r"reply\s+(\S+)\s+is\s+.+$", 1),
+    ("cached", r"cached(?:-stale)?\s+(\S+)\s+is\s+.+$", 1),
+    ("gravity_blocked", r"gravity blocked (?:\([^)]+\)\s+)?(\S+) is .+$", 1),
+    ("special", r"special domain\s+(\S+)\s+is\s+.+$", 1),
+    ("pihole_hostname", r"Pi-hole hostname\s+(\S+)\s+is\s+.+$", 1),
+    ("regex_blocked", r"(?:regex (?:denied|blacklisted)|exactly (?:denied|blacklisted)|blacklisted)\s+(\S+)\s+is\s+.+$", 1),
+    ("config", r"(?:/\S+|config)\s+(\S+)\s+is\s+.+$", 1),
+    ("validation", r"validation result is \S+", 0),
 )
+_RESOLVER = r"^\s*\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+(?:(\S+)\s+)?dnsmasq\[\d+\]:\s+(.+?)\s*$"
 
 
 def dnsmasq_text(lines: DataFrame, as_of: float) -> DataFrame:
-    """Resolver log lines: ts, src, query, event_type, qtype, host."""
+    """Resolver log lines: ts, src, query, event_type, qtype, host. A line of no grammar is `unknown`; the host of a line without one is its file's stem."""
     v = F.col("value")
-    body = F.regexp_extract(v, r"dnsmasq(?:\[\d+\])?: (?:\d+ \S+ )?(.*)$", 1)
-    kind = name = F.lit(None).cast("string")
-    for label, pattern in reversed(DNSMASQ):
+    stem = F.regexp_extract("file", r"([^/.]+)[^/]*$", 1)
+    shaped = lines.filter(v.rlike(_RESOLVER)).select(v.alias("value"), F.coalesce(F.nullif(F.regexp_extract(v, _RESOLVER, 1), F.lit("")), stem).alias("host"), F.regexp_extract(v, _RESOLVER, 2).alias("body"))
+    body = F.col("body")
+    kind = name = qtype = F.lit(None).cast("string")
+    for label, pattern, group in reversed(DNSMASQ):
         hit = body.rlike("^" + pattern)
-        group = 2 if label == "query" else 1
         kind = F.when(hit, label).otherwise(kind)
-        name = F.when(hit, F.regexp_extract(body, "^" + pattern, group)).otherwise(name)
-    asked = kind == "query"
-    old = F.regexp_extract(v, _STAMP, 1)
-    rows = lines.filter(body != "").select(
-        F.when(old != "", _rfc3164(old, as_of)).alias("ts"), F.when(asked, F.regexp_extract(body, DNSMASQ[0][1], 3)).alias("src"), F.lower(name).alias("query"), F.coalesce(kind, F.lit("unknown")).alias("event_type"),
-        F.when(asked, F.regexp_extract(body, DNSMASQ[0][1], 1)).alias("qtype"), F.regexp_extract(v, _STAMP + r"(\S+) ", 2).alias("host"),
+        name = F.when(hit, F.regexp_extract(body, "^" + pattern, group) if group else None).otherwise(name)
+        if group == 2:
+            qtype = F.when(hit, F.regexp_extract(body, "^" + pattern, 1)).otherwise(qtype)
+    asked = body.rlike("^" + DNSMASQ[0][1])
+    rows = shaped.select(
+        _rfc3164(F.regexp_extract(v, r"^\s*(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})", 1), as_of).alias("ts"), F.when(asked, F.regexp_extract(body, DNSMASQ[0][1], 3)).alias("src"), name.alias("query"), F.coalesce(kind, F.lit("unknown")).alias("event_type"), qtype.alias("qtype"), "host",
     )
     return usable_ts(conform(rows, "pihole"), keep_null=True)
 
@@ -200,8 +209,23 @@ def cloudtrail_json(documents: DataFrame) -> DataFrame:
 
 
 def route(lines: DataFrame, first: int = 200) -> DataFrame:
-    """(file, lane): what each file's first lines look like, by ordered recognisers; `blob` if by nothing."""
-    head = lines.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy(F.monotonically_increasing_id()))).filter(F.col("_n") <= first)
+    """(file, lane): what each file's first lines look like, by ordered recognisers; `blob` if by nothing.
+
+    A partition's lines of a file come in the file's order, so only the first ones of each partition are kept (`line heads`,
+    at most ``first`` a file and partition) before they are ranked: no file is sorted whole.
+    """
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            keep = []
+            for file in batch["file"].to_pylist():
+                seen[file] += 1
+                keep.append(seen[file] <= first)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    numbered = lines.select("file", "value", F.monotonically_increasing_id().alias("_at")).mapInArrow(heads, "file string, value string, _at long")
+    head = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("_at"))).filter(F.col("_n") <= first)
     v = F.col("value")
     votes = {
         "conn": v.rlike('"conn_state"|^#path\\s+conn$'), "dns": v.rlike('"qtype(?:_name)?"|^#path\\s+dns$'), "ssl": v.rlike('"server_name"|"cipher"|^#path\\s+ssl$'), "x509": v.rlike('"certificate\\.|^#path\\s+x509$'),

@@ -62,11 +62,45 @@ def test_addresses(spark):
 def test_registrable_domain(spark):
     from pyspark.sql import functions as F
 
-    from nightjar.functions.net import label_score, registrable_domain
+    from nightjar.functions.net import label_score, name_domains
 
-    names = {"a.b.example.co.uk": "example.co.uk", "example.com.": "example.com", "com": "com", "x.foo.ck": "x.foo.ck", "y.x.foo.ck": "x.foo.ck", "a.www.ck": "www.ck", "host": "host", "n.fam.test": "fam.test", "": None}
-    frame = spark.createDataFrame([(n,) for n in names], "n string")
-    assert {r.n: r.d for r in frame.select("n", registrable_domain(F.col("n")).alias("d")).collect()} == names
+    names = {"a.b.example.co.uk": "example.co.uk", "example.com.": "example.com", "com": "com", "co.uk": "uk", "x.foo.ck": "x.foo.ck", "y.x.foo.ck": "x.foo.ck", "a.www.ck": "www.ck", "host": "host", "n.fam.lan": "lan", "b.lan": "lan", "a..Foo.com.TR": "foo.com.tr", "": None, " . ": None}
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    assert {r.name: r.domain for r in name_domains(frame).collect()} == names
     score = spark.createDataFrame([("google",), ("x7f3k9q2",), ("",), (None,)], "n string").select("n", label_score(F.col("n")).alias("s")).collect()
     by = {r.n: r.s for r in score}
     assert by["x7f3k9q2"] > by["google"] and by[""] == 0 and by[None] == 0 and not math.isnan(by["google"])
+
+
+def test_suffix_list_format(spark, tmp_path):
+    from nightjar.functions.net import name_domains, suffix_rules
+
+    (tmp_path / "list.dat").write_text("// a comment\n\ncom\n*.ck\n!www.ck\nLAN  rest\n")
+    rules = suffix_rules(spark, str(tmp_path / "list.dat"))
+    assert {(r.rule, r.kind) for r in rules.collect()} == {("com", "plain"), ("ck", "wildcard"), ("www.ck", "exception"), ("lan", "plain")}
+    got = {r.name: r.domain for r in name_domains(spark.createDataFrame([("a.b.lan",), ("a.b.co.uk",)], "name string"), rules).collect()}
+    assert got == {"a.b.lan": "b.lan", "a.b.co.uk": "uk"}
+
+
+def test_flow_rules(spark):
+    from nightjar.operators.conn import FlowRule, suppress_flows
+
+    rows = [(1, "10.0.0.1", "8.8.8.8"), (2, "8.8.8.8", "10.0.0.1"), (3, "2001:db8:1::5", "10.0.0.9"), (4, "::ffff:10.0.0.1", "9.9.9.9"), (5, None, "8.8.4.4"), (6, "x", "y"), (7, "fe80::1", "ff02::fb")]
+    frame = spark.createDataFrame([(*r, 53, "udp") for r in rows], "row_id int, src string, dst string, port int, proto string")
+    kept = lambda *rules, detector=None: {r.row_id for r in suppress_flows(frame, rules, detector).collect()}
+    assert kept(FlowRule("10.0.0.1", "8.8.8.0/24")) == {3, 4, 5, 6, 7}
+    assert kept(FlowRule("10.0.0.0/24")) == {5, 6, 7}  # networks hold IPv4 in IPv6 form as well
+    assert kept(FlowRule("2001:db8::/32", "*")) == {1, 2, 4, 5, 6, 7}
+    assert kept(FlowRule("*", "*", 53)) == set() and kept(FlowRule("*", "*", 54)) == {1, 2, 3, 4, 5, 6, 7}
+    assert kept(FlowRule(port=53, proto="tcp")) == {1, 2, 3, 4, 5, 6, 7} and kept(FlowRule(port=53, proto="udp")) == set()
+    assert kept(FlowRule("x", detectors=("scan",))) == {1, 2, 3, 4, 5, 6, 7} and kept(FlowRule("x", detectors=("scan",)), detector="scan") == {1, 2, 3, 4, 5, 7}
+    assert kept(FlowRule("not/a/network")) == {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_pools_of_both_versions(spark):
+    from nightjar.operators.conn import exfil_pools
+
+    rows = [("a", f"2001:db8:0:{i}::1", 5) for i in range(6)] + [("a", f"203.0.{113 + i}.9", 7) for i in range(4)] + [("a", "9.9.9.9", 1), ("b", "2001:db8::1", 2)]
+    frame = spark.createDataFrame([(*r, 0, 1, 0.0, 1.0) for r in rows], "src string, dst string, orig_bytes long, resp_bytes long, connections long, first_ts double, last_ts double")
+    got = {(r.src, r.target): (r.tier, r.destinations, r.orig_bytes) for r in exfil_pools(frame).collect()}
+    assert got == {("a", "2001:0db8:0000:0000:0000:0000:0000:0000/40"): ("destination_pool", 6, 30), ("a", "203.0.112.0/20"): ("destination_pool", 4, 28), ("a", "9.9.9.9"): ("pair", 1, 1), ("b", "2001:db8::1"): ("pair", 1, 2)}
