@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightjar.functions.net import distinct_addresses, with_domain, with_dimension
-from nightjar.functions.frames import counted
+from nightjar.functions.frames import checkpointed, counted
+from nightjar.functions.net import distinct_addresses, with_dimension, with_domain
 from nightjar.operators.names import BLOCKED
 
 DAY = 86_400.0
@@ -37,10 +37,11 @@ def cells(pihole: DataFrame, report_end: float) -> tuple[DataFrame, DataFrame]:
     """
     asked = normalised(pihole.filter("event_type = 'query'")).filter(F.col("reason").isNull() & (F.col("ts") <= report_end))
     period = F.floor((F.lit(report_end) - F.col("ts")) / DAY).cast("long")
-    pairs = asked.groupBy("address", "name", period.alias("period")).agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    # both tables are read by several branches from here on, and are far smaller than the lane
+    pairs = checkpointed(asked.groupBy("address", "name", period.alias("period")).agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
     became = pihole.filter(F.col("event_type").isin("forwarded", "cached", *BLOCKED) & F.col("ts").isNotNull() & (F.col("ts") <= report_end))
     days = became.select(F.regexp_replace(F.lower("query"), r"\.+$", "").alias("name"), F.floor(F.col("ts") / DAY).cast("long").alias("day"), F.col("event_type").isin(*BLOCKED).alias("blocked")).distinct()
-    return pairs, days
+    return pairs, checkpointed(days)
 
 
 def name_routes(pairs: DataFrame, days: DataFrame, report: int) -> DataFrame:
@@ -53,8 +54,9 @@ def name_routes(pairs: DataFrame, days: DataFrame, report: int) -> DataFrame:
     facts = facts.filter("block_day IS NOT NULL").withColumn("same_day", F.array_contains("_days", F.col("block_day"))).drop("_days")  # a day a member
     uses = pairs.groupBy("address", "name").agg(F.min("first_ts").alias("asked"), F.min_by(F.struct("period", "first_ts"), "period").alias("latest"), F.sum("rows").alias("rows"))
     recent = uses.filter(F.col("latest.period") < report).join(facts, "name")
-    route = F.when(F.col("handled") < F.col("block_day"), "prior_handling").when("same_day", "same_day_ambiguous").when(F.col("asked") < F.col("latest.first_ts"), "prior_address_query").otherwise("qualifying")
-    return with_domain(recent.select("address", "name", F.col("latest.period").alias("period"), F.col("latest.first_ts").alias("first_ts"), "rows", route.alias("route")), "name", "family")
+    route = F.when(F.col("handled") < F.col("block_day"), "prior_handling").when(F.col("same_day"), "same_day_ambiguous").when(F.col("asked") < F.col("latest.first_ts"), "prior_address_query").otherwise("qualifying")
+    routed = checkpointed(recent.select("address", "name", F.col("latest.period").alias("period"), F.col("latest.first_ts").alias("first_ts"), "rows", route.alias("route")))
+    return with_domain(routed, "name", "family")
 
 
 def pair_routes(named: DataFrame, pairs: DataFrame, report: int, history: int = 21, active: int = 5, together: int = 3) -> DataFrame:

@@ -86,7 +86,7 @@ def control_strip(spark, sf_dir):
 
 
 @register("format_helpers", """WITH o AS (SELECT o_orderkey AS k, o_orderkey::BIGINT * o_orderkey AS n, o_orderkey * 7 AS s FROM orders)
-  SELECT k, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f} KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN format('{:.1f} MiB', n / 1048576.0::DOUBLE) WHEN n < 1099511627776 THEN format('{:.1f} GiB', n / 1073741824.0::DOUBLE) ELSE format('{:.1f} TiB', n / 1099511627776.0::DOUBLE) END AS size,
+  SELECT k, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f} KiB', round(n / 1024.0::DOUBLE, 1)) WHEN n < 1073741824 THEN format('{:.1f} MiB', round(n / 1048576.0::DOUBLE, 1)) WHEN n < 1099511627776 THEN format('{:.1f} GiB', round(n / 1073741824.0::DOUBLE, 1)) ELSE format('{:.1f} TiB', round(n / 1099511627776.0::DOUBLE, 1)) END AS size,
   CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' WHEN s < 86400 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h' END AS span,
   CASE WHEN k > 500 THEN '>50x' ELSE format('{:.1f}x', k / 10.0::DOUBLE) END AS ratio FROM o""")
 def format_helpers(spark, sf_dir):
