@@ -121,7 +121,7 @@ def suffix_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def name_domains(names: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Distinct names (column name) -> (name, labels, domain): the registrable domain, one label more than the longest suffix rule.
+    """Distinct names (column name) -> (name, labels, domain, suffix_labels, null without a rule): the registrable domain, one label more than the longest suffix rule.
 
     Without a rule, and for a bare suffix, it is the last label, so that a private namespace is one family. An exception
     rule goes before others. Outer white space, trailing dots and empty labels don't count; a name without labels has none.
@@ -137,7 +137,7 @@ def name_domains(names: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     held = best.withColumn("_size", F.coalesce("_exception", "_size"))
     own = F.when(F.col("_size") < F.size("labels"), F.col("_size") + 1).otherwise(1)
     domain = F.when(F.size("labels") > 0, F.array_join(F.slice("labels", -F.coalesce(own, F.lit(1)), F.coalesce(own, F.lit(1))), "."))
-    return held.select("name", "labels", domain.alias("domain"))
+    return held.select("name", "labels", domain.alias("domain"), F.col("_size").alias("suffix_labels"))
 
 
 def with_domain(df: DataFrame, column: str, name: str = "domain", rules: DataFrame | None = None) -> DataFrame:

@@ -82,3 +82,23 @@ def external_addresses(conn: DataFrame, home_net=None) -> DataFrame:
     faced = classify_addresses(conn.select("dst").distinct(), "dst", home_net or HOME_NET)
     counts = faced.agg(F.count_if("dst_facts.external").alias("n"), F.max(~F.coalesce("dst_facts.parsed", F.lit(False))).alias("unclassifiable"))
     return counts.select(F.when(~F.col("unclassifiable"), F.col("n")).alias("addresses"), "unclassifiable")
+
+
+def largest_outbound(conn: DataFrame, home_net=None) -> DataFrame:
+    """One row: the most originator bytes of a connection from home to outside with both byte counts, its earliest time and ends; none if an address can't be classified."""
+    from nightjar.functions.net import HOME_NET, classify_addresses
+
+    faced = classify_addresses(conn, ["src", "dst"], home_net or HOME_NET)
+    unknown = F.max(~(F.col("src_facts.parsed") & F.col("dst_facts.parsed")))
+    out = F.col("src_facts.local") & F.col("dst_facts.external") & (F.col("bytes") >= 0) & (F.col("resp_bytes") >= 0)
+    best = F.max(F.when(out, F.struct("bytes", (-F.col("ts")).alias("t"), "src", "dst")))
+    one = faced.agg(best.alias("m"), unknown.alias("unclassifiable"))
+    known = lambda c: F.when(~F.col("unclassifiable"), c)
+    return one.select(known(F.col("m.bytes")).alias("bytes"), known(-F.col("m.t")).alias("ts"), known(F.col("m.src")).alias("src"), known(F.col("m.dst")).alias("dst"), "unclassifiable")
+
+
+def capture_loss(intervals: DataFrame) -> DataFrame:
+    """Per peer: intervals, seconds, gaps, acks and the share of gaps in per cent; never over several peers."""
+    sums = intervals.groupBy("peer").agg(F.count("*").alias("intervals"), F.sum("seconds").alias("seconds"), F.sum("gaps").alias("gaps"), F.sum("acks").alias("acks"))
+    both = F.col("gaps") + F.col("acks")
+    return sums.withColumn("loss", F.when(both > 0, F.bround(100 * F.col("gaps") / both, 6)))

@@ -50,3 +50,10 @@ def saturate(cells: DataFrame, limit: float = 3.4028234663852886e38) -> DataFram
     whole = F.sum(F.col("_c") / limit).over(Window.partitionBy("bin"))
     scaled = F.when(whole > 1, F.col("_c") / whole).otherwise(F.col("_c"))
     return clipped.withColumn("_s", scaled).withColumn("altered", F.col("_s") != F.col("metric")).withColumn("metric", F.col("_s")).drop("_c", "_s")
+
+
+def merge_cells(counts: DataFrame, weights: DataFrame) -> DataFrame:
+    """Count cells and byte cells of one cube together, nothing as 0: one aggregate of their union."""
+    keys = ["src", "dst", "svc", "bin"]
+    both = counts.select(*keys, F.col("rows"), F.lit(0.0).alias("metric")).unionByName(weights.select(*keys, F.lit(0).cast("long").alias("rows"), "metric"))
+    return both.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("metric").alias("metric"))

@@ -72,6 +72,17 @@ def conn_card(conn: DataFrame) -> DataFrame:
     return select_insights(out)
 
 
+def weird_card(weird: DataFrame) -> DataFrame:
+    """Anomalies: names and hosts that tower over the next, the mix of names, and of analyzers with none as a kind of its own."""
+    analyzer = F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("(none)"))
+    parts = [cliff(weird, "name_volume", F.col("name"), ratio=1.0), cliff(weird, "host_volume", F.col("src"), ratio=1.0), dist(weird, "name_mix", F.col("name")), dist(weird, "analyzer_mix", analyzer)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    hostless = weird.agg(F.count_if(F.col("src").isNull()).alias("n"), F.count("*").alias("all")).filter("n > 0")
+    return select_insights(out.unionByName(_row(hostless, "hostless", "dist", F.lit(None), F.col("n"), F.col("n") / F.col("all"))))
+
+
 def time_histogram(rows: DataFrame, ts: str = "ts", most: int = 60, parseable: float = 0.8) -> DataFrame:
     """Rows per bin, zero-filled: hourly up to 48 hours, else daily; neighbours are summed until at most `most` bins are left.
 

@@ -37,6 +37,17 @@ def query_shapes(dns: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     )
 
 
+def domain_exclusions(names: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Distinct names (column name) with their registrable domain, or the reason why they have none."""
+    found = name_domains(names, rules)
+    bare = F.regexp_replace(F.lower(F.trim("name")), r"\.+$", "")
+    reason = (
+        F.when((bare == "") | bare.rlike(r"^\.|\.\.") , "malformed").when(bare.rlike(r"(^|\.)arpa$"), "ptr-arpa").when(bare.rlike(r"(^|\.)local$"), "mdns-local").when(bare.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") | bare.contains(":"), "ip-literal")
+        .when(~bare.contains("."), "single-label").when(F.col("suffix_labels").isNull(), "malformed").when(F.col("suffix_labels") >= F.size("labels"), "public-suffix-only")
+    )
+    return found.select("name", F.when(reason.isNull(), F.col("domain")).alias("domain"), reason.alias("reason"))
+
+
 def candidates(dns: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """Per query name: rows, distinct sources, NXDOMAIN rows, rcode map, bounds, and whether a resolver blocked it."""
     named = dns.filter("query IS NOT NULL").withColumn("name", F.lower("query"))

@@ -33,3 +33,12 @@ def topn_other_fold(spark, sf_dir):
 @register("metric_saturate", with_lanes(f"{_CELLS}, c AS (SELECT *, least(metric, 50000) AS c FROM cells), w AS (SELECT *, sum(c / 50000) OVER (PARTITION BY bin) AS w FROM c) SELECT src, dst, svc, bin, rows, round_even(CASE WHEN w > 1 THEN c / w ELSE c END, 3) AS metric FROM w", "conn"))
 def metric_saturate(spark, sf_dir):
     return cube.saturate(_cells(spark, sf_dir), 50_000.0).withColumn("metric", F.bround("metric", 3)).drop("altered")
+
+
+@register("outer_merge_cells", with_lanes("""c AS (SELECT src, dst, port || '/' || proto AS svc, floor(ts / 86400)::BIGINT AS bin, count(*) AS rows FROM conn WHERE proto = 'tcp' GROUP BY ALL), w AS (SELECT src, dst, port || '/' || proto AS svc, floor(ts / 86400)::BIGINT AS bin, sum(bytes)::DOUBLE AS metric FROM conn WHERE bytes > 20000 GROUP BY ALL)
+  SELECT src, dst, svc, bin, coalesce(rows, 0) AS rows, coalesce(metric, 0) AS metric FROM c FULL JOIN w USING (src, dst, svc, bin)""", "conn"))
+def outer_merge_cells(spark, sf_dir):
+    rows = cube.prepare(conn(spark, sf_dir)).withColumn("bin", F.floor(F.col("ts") / 86400).cast("long"))
+    counts = rows.filter("svc LIKE '%/tcp'").groupBy("src", "dst", "svc", "bin").agg(F.count("*").alias("rows"))
+    weights = rows.filter("metric > 20000").groupBy("src", "dst", "svc", "bin").agg(F.sum("metric").alias("metric"))
+    return cube.merge_cells(counts, weights)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nightjar.operators import archive, digest, events, tls
 from nightjar.operators.windows import gap_sessions, merge_intervals, mix, mode, most_distinct_in_range
-from nightjar.plans.projections import conn, era_conn, ssl, syslog, with_lanes, x509
+from nightjar.plans.projections import conn, era_conn, read, ssl, syslog, weird, with_lanes, x509
 from nightjar.registry import register
 
 _T = "regexp_replace(message, '\\b\\d+\\b', '<*>', 'g')"
@@ -206,3 +206,26 @@ def time_histogram(spark, sf_dir):
   SELECT *, CASE WHEN statistic <> 'dist' AND row_number() OVER (ORDER BY statistic = 'dist', ratio DESC, slot, entity) <= 3 THEN 'insight' ELSE 'field' END AS role FROM q""", "conn"))
 def digest_conn(spark, sf_dir):
     return digest.conn_card(conn(spark, sf_dir))
+
+
+@register("largest_outbound", with_lanes("o AS (SELECT * FROM conn WHERE dst LIKE '203.%' AND resp_bytes IS NOT NULL ORDER BY bytes DESC, ts, src DESC, dst DESC LIMIT 1) SELECT bytes, ts, src, dst, false AS unclassifiable FROM o", "conn"))
+def largest_outbound(spark, sf_dir):
+    return archive.largest_outbound(conn(spark, sf_dir))
+
+
+@register("capture_loss", "SELECT l_returnflag || l_linestatus AS peer, count(*) AS intervals, sum(l_linenumber * 60)::BIGINT AS seconds, sum(l_linenumber)::BIGINT AS gaps, sum(l_quantity::BIGINT)::BIGINT AS acks, round_even(100 * sum(l_linenumber) / (sum(l_linenumber) + sum(l_quantity::BIGINT))::DOUBLE, 6) AS loss FROM lineitem GROUP BY 1")
+def capture_loss(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("peer"), (F.col("l_linenumber") * 60).cast("long").alias("seconds"), F.col("l_linenumber").cast("long").alias("gaps"), F.round("l_quantity").cast("long").alias("acks"))
+    return archive.capture_loss(rows)
+
+
+_TOWER = "SELECT '{slot}' AS slot, 'cliff' AS statistic, (SELECT e FROM {t} ORDER BY m DESC, e LIMIT 1) AS entity, max(m)::DOUBLE AS magnitude, round_even(max(m) / (SELECT m FROM {t} ORDER BY m DESC, e LIMIT 1 OFFSET 1)::DOUBLE, 4) AS ratio FROM {t} HAVING count(*) >= 5"
+_MIX = "SELECT * FROM (SELECT '{slot}', 'dist', e, m::DOUBLE, round_even(m / (SELECT sum(m) FROM {t})::DOUBLE, 4) FROM {t} ORDER BY m DESC, e LIMIT 3)"
+
+
+@register("digest_weird", with_lanes(f"""nm AS (SELECT name AS e, count(*) AS m FROM weird GROUP BY 1), hs AS (SELECT src AS e, count(*) AS m FROM weird WHERE src IS NOT NULL GROUP BY 1), an AS (SELECT coalesce(source, '(none)') AS e, count(*) AS m FROM weird GROUP BY 1),
+  q AS ({_TOWER.format(slot='name_volume', t='nm')} UNION ALL {_TOWER.format(slot='host_volume', t='hs')} UNION ALL {_MIX.format(slot='name_mix', t='nm')} UNION ALL {_MIX.format(slot='analyzer_mix', t='an')}
+    UNION ALL SELECT 'hostless', 'dist', NULL, count(*)::DOUBLE, round_even(count(*) / (SELECT count(*) FROM weird)::DOUBLE, 4) FROM weird WHERE src IS NULL HAVING count(*) > 0)
+  SELECT *, CASE WHEN statistic <> 'dist' THEN 'insight' ELSE 'field' END AS role FROM q""", "weird"))
+def digest_weird(spark, sf_dir):
+    return digest.weird_card(weird(spark, sf_dir))

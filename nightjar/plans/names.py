@@ -40,6 +40,18 @@ def registrable(spark, sf_dir):
     return name_domains(names).select(F.col("name").alias("host"), "domain", F.size("labels").alias("parts"))
 
 
+_FORMS = ("query", "concat(row_id % 9, '.in-addr.arpa')", "concat('p', row_id % 9, '.local')", "'10.0.0.1'", "'box'", "'co.uk'", "'a..com'", "'x.lan'")
+_FORMS_SQL = " UNION ".join(f"SELECT DISTINCT {f} AS name FROM dns" for f in _FORMS)
+
+
+@register("domain_exclusions", with_lanes(f"""a AS ({_FORMS_SQL}), {domains_sql('a', 'name')}, z AS (SELECT name, domain, len(l) AS n, s FROM domains JOIN dm USING (name, l)),
+  r AS (SELECT *, CASE WHEN name LIKE '%..%' THEN 'malformed' WHEN name LIKE '%.arpa' THEN 'ptr-arpa' WHEN name LIKE '%.local' THEN 'mdns-local' WHEN name = '10.0.0.1' THEN 'ip-literal' WHEN name NOT LIKE '%.%' THEN 'single-label' WHEN s IS NULL THEN 'malformed' WHEN s >= n THEN 'public-suffix-only' END AS reason FROM z)
+  SELECT name, CASE WHEN reason IS NULL THEN domain END AS domain, reason FROM r""", "dns"))
+def domain_exclusions(spark, sf_dir):
+    lane = dns(spark, sf_dir)
+    return ops.domain_exclusions(lane.select(F.explode(F.array(*[F.expr(f) for f in _FORMS])).alias("name")).distinct())
+
+
 @register("dns_candidate_enrich", with_lanes(f"""{_CAND}, m AS (SELECT lower(query) AS name, rcode, count(*) AS n FROM dns GROUP BY ALL), j AS (SELECT name, '{{' || string_agg('"' || rcode || '":' || n, ',' ORDER BY rcode::VARCHAR) || '}}' AS rcodes FROM m GROUP BY name)
   SELECT c.*, rcodes, EXISTS (SELECT 1 FROM pihole WHERE event_type = 'gravity_blocked' AND query = c.name) AS blocked FROM c LEFT JOIN j USING (name)""", "dns", "pihole"))
 def dns_candidate_enrich(spark, sf_dir):
