@@ -146,7 +146,7 @@ def dnsmasq_text(lines: DataFrame, as_of: float) -> DataFrame:
             qtype = F.when(hit, F.regexp_extract(body, "^" + pattern, 1)).otherwise(qtype)
     asked = body.rlike("^" + DNSMASQ[0][1])
     rows = shaped.select(
-        _rfc3164(F.regexp_extract(v, r"^\s*(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})", 1), as_of).alias("ts"), F.when(asked, F.regexp_extract(body, DNSMASQ[0][1], 3)).alias("src"), name.alias("query"), F.coalesce(kind, F.lit("unknown")).alias("event_type"), qtype.alias("qtype"), "host",
+        _rfc3164(F.regexp_extract(v, r"^\s*(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})", 1), as_of).alias("ts"), F.when(asked, F.regexp_extract(body, DNSMASQ[0][1], 3)).alias("src"), F.lower(name).alias("query"), F.coalesce(kind, F.lit("unknown")).alias("event_type"), qtype.alias("qtype"), "host",
     )
     return usable_ts(conform(rows, "pihole"), keep_null=True)
 
