@@ -59,15 +59,32 @@ def evidence_of(ratios: np.ndarray) -> Column:
     return mean
 
 
-def log_ratios(held: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _blocks(packed: np.ndarray, size: int = 1024):
+    """(first row, the rows' places as numbers) in blocks: only the bitsets of the whole sample are held, GRAMS / 8 bytes a row."""
+    for i in range(0, len(packed), size):
+        yield i, np.unpackbits(packed[i : i + size], axis=1).astype(np.float32)
+
+
+def fold_counts(packed: np.ndarray, y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows of each fold and label have each place, and how many rows there are; rows without a label don't count."""
+    group = np.where(np.isnan(y), -1, part * 2 + np.nan_to_num(y)).astype(np.int64)
+    counts = np.zeros((FOLDS * 2, GRAMS))
+    for i, bits in _blocks(packed):
+        counts += (group[i : i + len(bits)] == np.arange(FOLDS * 2)[:, None]).astype(np.float32) @ bits
+    return counts.reshape(FOLDS, 2, GRAMS), np.bincount(group[group >= 0], minlength=FOLDS * 2).reshape(FOLDS, 2)
+
+
+def log_ratios(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The log ratio of each place's frequency in rows of label 1 and of label 0, smoothed by one row."""
-    up, down = held[y == 1].sum(axis=0, dtype=np.int64), held[y == 0].sum(axis=0, dtype=np.int64)
-    return np.log((up + 1) / ((y == 1).sum() + 2)) - np.log((down + 1) / ((y == 0).sum() + 2))
+    return np.log((counts[1] + 1) / (rows[1] + 2)) - np.log((counts[0] + 1) / (rows[0] + 2))
 
 
-def evidence(held: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """The mean ratio over each row's places, in blocks."""
-    return np.concatenate([np.zeros(0)] + [h.astype(np.float32) @ ratios.astype(np.float32) / np.maximum(h.sum(axis=1), 1) for h in (held[i : i + 4096] for i in range(0, len(held), 4096))])
+def evidence(packed: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """The mean ratio over each row's places."""
+    out = np.zeros(len(packed))
+    for i, bits in _blocks(packed):
+        out[i : i + len(bits)] = bits @ ratios.astype(np.float32) / np.maximum(bits.sum(axis=1), 1)
+    return out
 
 
 def text_view(text: Column) -> dict[str, Column]:
@@ -171,9 +188,8 @@ class Model(NamedTuple):
     ratios: np.ndarray
 
 
-def _held(rows: pd.DataFrame) -> np.ndarray:
-    """The gram places of all rows, a byte each: GRAMS bytes a row of the bounded sample."""
-    return np.unpackbits(np.frombuffer(b"".join(rows["g"]), dtype=np.uint8).reshape(len(rows), GRAMS // 8), axis=1)
+def _packed(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["g"]), dtype=np.uint8).reshape(len(rows), GRAMS // 8)
 
 
 def _with_evidence(rows: pd.DataFrame, values: np.ndarray) -> pd.DataFrame:
@@ -189,25 +205,24 @@ def co_train(known: pd.DataFrame, pool: pd.DataFrame, rounds: int = ROUNDS) -> M
     if known["y"][fold].nunique() < 2 or known["y"][~fold].nunique() < 2:
         fold = np.zeros(len(known), bool)
     train, hold = known[~fold], known[fold] if fold.any() else known
-    held, held_hold, held_pool = _held(train), _held(hold), _held(pool)
+    held, held_hold, held_pool = _packed(train), _packed(hold), _packed(pool)
     part, part_pool = draw.permutation(len(train)) % FOLDS, draw.permutation(len(pool)) % FOLDS
     text = [c for c in known.columns if c.startswith("t_")] + ["t_grams"]
     meta = View.over(known, list(_NUMBERS), list(_NAMES))
     y, yh = train["y"].to_numpy(float), hold["y"].to_numpy(float)
+    own_counts, own_rows = fold_counts(held, y, part)
     given = [np.full(len(pool), np.nan), np.full(len(pool), np.nan)]  # pseudo-labels that each view has been given
     for turn in range(rounds + 1):
         told = ~np.isnan(given[0])
-
-        def counted(out: int | None) -> np.ndarray:
-            mine, theirs = (np.ones(len(y), bool), told) if out is None else (part != out, told & (part_pool != out))  # noqa: B023
-            return log_ratios(np.vstack([held[mine], held_pool[theirs]]), np.r_[y[mine], given[0][theirs]])  # noqa: B023
-
-        ratios = counted(None)
-        own, own_pool = evidence(held, ratios), evidence(held_pool, ratios)
+        more, more_rows = fold_counts(held_pool, given[0], part_pool)
+        counts, sizes = own_counts + more, own_rows + more_rows
+        ratios = log_ratios(counts.sum(axis=0), sizes.sum(axis=0))
+        own, own_pool = np.zeros(len(train)), evidence(held_pool, ratios)
         for out in range(FOLDS):
-            apart = counted(out)
+            apart = log_ratios(counts.sum(axis=0) - counts[out], sizes.sum(axis=0) - sizes[out])
             own[part == out] = evidence(held[part == out], apart)
-            own_pool[told & (part_pool == out)] = evidence(held_pool[told & (part_pool == out)], apart)
+            mine = told & (part_pool == out)
+            own_pool[mine] = evidence(held_pool[mine], apart)
         rows = [_with_evidence(train, own), _with_evidence(hold, evidence(held_hold, ratios)), _with_evidence(pool, own_pool)]
         views = (View.over(rows[0], text, []), meta)
         xs, hs, us = ([v.matrix(d) for v in views] for d in rows)
