@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import bin_slack, cotrain, cuckoo, feistel_shards, license_scan, line_dedup, order_minhash, pareto_mix, perspectives, simhash_index
+from nightjar.llm import bin_slack, byte_bpe, cotrain, cuckoo, feistel_shards, license_scan, line_dedup, order_minhash, pareto_mix, perspectives, simhash_index
 from nightjar.llm._common import table
 
 
@@ -55,6 +55,11 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shards(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pareto_mix,
         op9_perspective_rotation,
         op10_feistel_shards,
+        op12_byte_bpe,
     )
 }
