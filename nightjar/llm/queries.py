@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import bin_slack, byte_bpe, cotrain, cuckoo, feistel_shards, license_scan, line_dedup, order_minhash, pareto_mix, perspectives, simhash_index
+from nightjar.llm import bin_slack, byte_bpe, cotrain, cuckoo, feistel_shards, license_scan, line_dedup, order_minhash, pareto_mix, periodic_runs, perspectives, simhash_index
 from nightjar.llm._common import table
 
 
@@ -55,6 +55,16 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards.shards(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -73,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pareto_mix,
         op9_perspective_rotation,
         op10_feistel_shards,
+        op11_periodic_runs,
         op12_byte_bpe,
     )
 }
