@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightjar.llm import bin_slack, byte_bpe, cotrain, cuckoo, feistel_shards, license_scan, line_dedup, order_minhash, pareto_mix, periodic_runs, perspectives, simhash_index
+from nightjar.llm import bin_slack, byte_bpe, cotrain, cuckoo, dialogue_repair, feistel_shards, license_scan, line_dedup, order_minhash, pareto_mix, periodic_runs, perspectives, simhash_index
 from nightjar.llm._common import table
 
 
@@ -70,6 +70,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_feistel_shards,
         op11_periodic_runs,
         op12_byte_bpe,
+        op13_dialogue_repair,
     )
 }
