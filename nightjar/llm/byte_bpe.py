@@ -13,6 +13,7 @@ import base64
 import re
 import struct
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -26,9 +27,9 @@ from pyspark.sql import types as T
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Strings kept by a worker in each of two generations, between batches, and the length of the longest one kept: together they bound the memory
-CACHED, LONGEST = 400_000, 48
+CACHED, LONGEST = 300_000, 48
 #: Rows of a batch, and the bytes after which it ends
-ROWS, BYTES = 10_000, 16_000_000
+ROWS, BYTES = 10_000, 7_000_000
 #: Bits to a word of the bitmap
 WIDTH = 6
 
@@ -185,14 +186,17 @@ _SPACE_RUN = re.compile(r"\s\s")
 _MARK = re.compile(r"(?<=[A-Za-z])([,.])(?=[ \n])")
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Token -> rank of a rank file."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+
+
 class Coder:
-    """Text to ids and back, for one rank file and pattern."""
+    """Text to ids, for one rank file and pattern."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        self.merger = Merger(ranks)
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.merger = Merger(read_ranks(path))
         self.split = regex.compile(pattern).findall
         #: Two generations of what has been met: what is asked for moves on from the old one, the rest goes with it
         self.new: dict[str, bytes] = {}
@@ -244,18 +248,22 @@ class Coder:
             return [text]
         return _MARK.sub("\0\\1", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
+@cache
+def coder(path: str, pattern: str) -> Coder:
+    """The coder of a worker, made once and kept."""
+    return Coder(path, pattern)
 
-_coders: dict[tuple[str, str], Coder] = {}
 
+@cache
+def tokens(path: str) -> dict[int, bytes]:
+    """Id -> bytes, read once by a worker."""
+    return {rank: token for token, rank in read_ranks(path).items()}
 
-def coder(path: str, pattern: str) -> Coder:
-    """The coder of a worker, made once and kept."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+
+def text_bytes(ids: bytes, of: dict[int, bytes]) -> bytes:
+    """The bytes of packed ids."""
+    return b"".join(map(of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -290,16 +298,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     return rows.mapInArrow(run, kind)
 
 
-def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
     """The rows with `decoded` (binary): the bytes of packed ids. Null ids give null, an id that the file lacks is an error."""
     path = str(ranks or public_tokenizers.path(RANKS))
     kind = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_bytes = coder(path, pattern).decode
+        of = tokens(path)
         for whole in batches:
             for batch in slices(whole, ids_col):
-                texts = [None if ids is None else to_bytes(ids) for ids in batch[ids_col].to_pylist()]
+                texts = [None if ids is None else text_bytes(ids, of) for ids in batch[ids_col].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, kind)

@@ -45,7 +45,8 @@ def test_against_the_library(coder, library):
     rng = random.Random(1)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(120))) for _ in range(2000)] + ["", "<|endoftext|>", "a" * 5001, "ab" * 4000 + "c"]
     assert [unpacked(i) for i in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
-    assert [coder.decode(i).decode() for i in coder.encode(texts)] == texts
+    of = byte_bpe.tokens(PATH)
+    assert [byte_bpe.text_bytes(i, of).decode() for i in coder.encode(texts)] == texts
 
 
 def test_code_points_in_context(coder, library):
