@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Strings kept by a worker in each of two generations, between batches, and the length of the longest one kept: together they bound the memory
-CACHED, LONGEST = 300_000, 48
+CACHED, LONGEST = 120_000, 48
 #: Rows of a batch, and the bytes after which it ends
-ROWS, BYTES = 10_000, 7_000_000
+ROWS, BYTES = 10_000, 4_000_000
 #: Bits to a word of the bitmap
 WIDTH = 6
 
