@@ -204,7 +204,7 @@ def exfil_pairs(conn: DataFrame, min_bytes: int = GIB, min_share: float = 0.6, h
     )
     share = F.col("orig_bytes") / (F.col("orig_bytes") + F.col("resp_bytes"))
     pairs = pairs.withColumn("share", share).filter((F.col("orig_bytes") >= min_bytes) & (F.col("share") >= min_share))
-    services = rows.join(pairs.select("src", "dst"), ["src", "dst"], "left_semi").withColumn("service", F.concat_ws("/", F.col("port").cast("string"), "proto"))
+    services = rows.join(pairs.select("src", "dst"), ["src", "dst"], "left_semi").withColumn("service", F.concat_ws("/", F.coalesce(F.col("port").cast("string"), F.lit("?")), F.coalesce("proto", F.lit("?"))))
     mixed = mix(services, ["src", "dst"], "service", "service_mix", F.col("_both"))
     return pairs.join(mixed, ["src", "dst"], "left").withColumn("orig_share", F.bround("share", 4)).drop("share")
 

@@ -65,7 +65,7 @@ def exfil_funnel(spark, sf_dir):
 _PAIRS = """pairs AS (SELECT src, dst, sum(bytes)::BIGINT AS orig_bytes, sum(resp_bytes)::BIGINT AS resp_bytes, count(*) AS connections, min(ts) AS first_ts, max(ts) AS last_ts, max(duration) AS max_duration,
   round_even(sum(bytes) / (sum(bytes) + sum(resp_bytes))::DOUBLE, 4) AS orig_share FROM ok GROUP BY src, dst HAVING sum(bytes) >= 200000 AND sum(bytes) / (sum(bytes) + sum(resp_bytes))::DOUBLE >= 0.6)"""
 _EXFIL = f"""{_KEPT}, {_ELIGIBLE}, {_PAIRS},
-svc AS (SELECT src, dst, port || '/' || proto AS service, sum(bytes + resp_bytes)::BIGINT AS n FROM ok GROUP BY ALL),
+svc AS (SELECT src, dst, coalesce(port::VARCHAR, '?') || '/' || coalesce(proto, '?') AS service, sum(bytes + resp_bytes)::BIGINT AS n FROM ok GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, service) AS r FROM svc),
 mixed AS (SELECT src, dst, string_agg(service || ':' || n, ',' ORDER BY r) AS service_mix FROM top WHERE r <= 3 GROUP BY src, dst)"""
 
