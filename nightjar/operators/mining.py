@@ -1,7 +1,9 @@
-"""Template mining of log messages, features of DNS rows, and density clusters on a grid."""
+"""Template mining of log messages, features of DNS rows, connected components, and dense groups of names."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,8 +81,32 @@ def dns_features(dns: DataFrame, suffixes: int = 20) -> DataFrame:
     return named.crossJoin(F.broadcast(scale)).select("row_id", "query", "suffix", *[e.alias(c) for c, e in scaled.items()])  # one row on the right
 
 
-def _components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Links (a, b), both ways -> (node, label): the smallest node reachable, by labels that run ahead along the links."""
+def _joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, label) of links that fit into a task."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for part in parts:
+        for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(up), "label": [top(x) for x in list(up)]}, dtype="int64")
+
+
+def components(pairs: DataFrame, rounds: int = 200, in_one_task: int = 500_000) -> DataFrame:
+    """Links (a, b) of longs -> (node, label): the smallest node reachable.
+
+    Labels run ahead along the links and jump to their label's own, round by round; links that are counted to be at most ``in_one_task`` are joined in one.
+    """
+    links = checkpointed(pairs.distinct())
+    if links.count() <= in_one_task:
+        return checkpointed(links.coalesce(1).mapInPandas(_joined, "node long, label long"))
+    links = checkpointed(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
     for _ in range(rounds):
         near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -94,33 +120,6 @@ def _components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def density_clusters(rows: DataFrame, features: list[str], width: float = 0.5, least_size: int = 2000, samples: int = 100) -> DataFrame:
-    """rows with `cluster`, -1 for noise: a grid form of density clustering, approximate by design.
-
-    Rows fall into cells of a grid. A cell with `samples` rows in it and its neighbours along one axis is dense; dense neighbours are
-    one cluster, other cells join a dense neighbour's. Clusters under `least_size` rows are noise. The work is on cells, not on rows.
-    """
-    cell = F.concat_ws(",", *[F.floor(F.col(c) / width).cast("long").cast("string") for c in features])
-    placed = rows.withColumn("_cell", cell)
-    weights = checkpointed(placed.groupBy("_cell").agg(F.count("*").alias("n")))
-    at = F.transform(F.split("_cell", ","), lambda x: x.cast("long"))
-    moved = lambda i, d: F.concat_ws(",", *[(F.get("_at", F.lit(j)) + (d if i == j else 0)).cast("string") for j in range(len(features))])
-    around = F.explode(F.array(*[moved(i, d) for i in range(len(features)) for d in (-1, 1)]))
-    steps = weights.withColumn("_at", at).select(F.col("_cell").alias("a"), "n", around.alias("b"))
-    near = checkpointed(steps.join(weights.select(F.col("_cell").alias("b"), F.col("n").alias("m")), "b").select("a", "b", "n", "m"))
-    dense = weights.join(near.groupBy(F.col("a").alias("_cell")).agg(F.sum("m").alias("m")), "_cell", "left").filter(F.col("n") + F.coalesce("m", F.lit(0)) >= samples).select("_cell")
-    dense = checkpointed(dense)
-    core = lambda c: dense.withColumnRenamed("_cell", c)
-    links = near.select("a", "b").join(core("a"), "a").join(core("b"), "b").unionByName(dense.select(F.col("_cell").alias("a"), F.col("_cell").alias("b")))
-    labels = _components(checkpointed(links))
-    border = near.select("a", "b").join(core("a"), "a", "left_anti").join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
-    named = labels.unionByName(border).withColumnRenamed("node", "_cell")
-    sized = named.join(weights, "_cell").groupBy("label").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= least_size)
-    numbered = sized.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("rows"), "label")) - 1)  # at most rows / least_size of them
-    of = counted(named.join(numbered.select("label", "cluster"), "label").select("_cell", "cluster"))
-    return placed.join(of, "_cell", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("int")).drop("_cell")
-
-
 def dense_scan(clustered: DataFrame, score: Column, least: int = 100, high: float = 1.8, high_share: float = 0.8, domain_share: float = 0.8, top: int = 500) -> DataFrame:
     """High-scoring names of clusters that look like one domain's tunnel: large, mostly high-scoring, mostly one domain.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nightjar.functions.net import label_score, with_domain
 from nightjar.operators import mining
+from nightjar.operators.density import density_clusters
 from nightjar.plans.projections import dns, syslog, with_lanes
 from nightjar.registry import register
 
@@ -37,24 +38,19 @@ def dns_features(spark, sf_dir):
     return rows.select("row_id", "query", "suffix", *[F.bround(c, 5).alias(c) for c in _NUMBERS])
 
 
-_GRID = """g AS (SELECT row_id, query, floor(length(query) / 4)::BIGINT AS x, floor(rcode / 4)::BIGINT AS y FROM dns), w AS (SELECT x, y, count(*) AS n FROM g GROUP BY ALL),
-  nb AS (SELECT a.x, a.y, b.x AS bx, b.y AS bY, b.n AS m FROM w a JOIN w b ON abs(a.x - b.x) + abs(a.y - b.y) = 1), c AS (SELECT w.x, w.y FROM w LEFT JOIN (SELECT x, y, sum(m) AS m FROM nb GROUP BY ALL) s USING (x, y) WHERE n + coalesce(m, 0) >= 20)"""
+def _scored(spark, sf_dir):
+    """Names with the score of their first label and the logarithm of the answer's time, on a grid so that equal vectors meet."""
+    lane = with_domain(dns(spark, sf_dir), "query").withColumn("first", F.substring_index("query", ".", 1))
+    return lane.withColumn("x", F.bround(label_score(F.col("first")), 2)).withColumn("y", F.bround(F.log1p(F.col("rtt") * 1000), 1))
 
 
-@register("density_noise", with_lanes(f"""RECURSIVE_MARK {_GRID}, r AS (SELECT x, y, x AS lx, y AS ly FROM c UNION SELECT nb.bx, nb.bY, r.lx, r.ly FROM r JOIN nb USING (x, y) JOIN c ON c.x = nb.bx AND c.y = nb.bY),
-  lab AS (SELECT x, y, min((lx, ly)) AS label FROM r GROUP BY ALL), brd AS (SELECT nb.x, nb.y, min(lab.label) AS label FROM nb JOIN lab ON lab.x = nb.bx AND lab.y = nb.bY WHERE (nb.x, nb.y) NOT IN (SELECT (x, y) FROM c) GROUP BY ALL),
-  nm AS (SELECT * FROM lab UNION ALL SELECT * FROM brd), sz AS (SELECT label, sum(n) AS rows FROM nm JOIN w USING (x, y) GROUP BY 1 HAVING sum(n) >= 50)
-  SELECT row_id, coalesce(sz.rows, 0)::BIGINT AS cluster_rows FROM g LEFT JOIN nm USING (x, y) LEFT JOIN sz USING (label)""", "dns").replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK ", ""))
+@register("density_noise")
 def density_noise(spark, sf_dir):
-    rows = dns(spark, sf_dir).select("row_id", "query", F.length("query").cast("double").alias("length"), F.col("rcode").cast("double").alias("rcode"))
-    found = mining.density_clusters(rows, ["length", "rcode"], width=4.0, least_size=50, samples=20)
-    sizes = found.filter("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("cluster_rows"))
-    return found.join(sizes, "cluster", "left").select("row_id", F.coalesce("cluster_rows", F.lit(0)).alias("cluster_rows"))
+    rows = _scored(spark, sf_dir).select("row_id", "query", "x", "y")
+    return density_clusters(rows, ["x", "y"], least_size=60, samples=15, width=0.4)
 
 
 @register("dns_dense_scan")
 def dns_dense_scan(spark, sf_dir):
-    lane = with_domain(dns(spark, sf_dir), "query").withColumn("first", F.substring_index("query", ".", 1))
-    rows = lane.select("row_id", "query", "domain", "first", F.length("first").cast("double").alias("label_length"), F.length("domain").cast("double").alias("owner"))
-    clustered = mining.density_clusters(rows, ["label_length", "owner"], width=1.0, least_size=20, samples=10)
+    clustered = density_clusters(_scored(spark, sf_dir).select("row_id", "query", "domain", "first", "x", "y"), ["x", "y"], least_size=60, samples=15, width=0.4)
     return mining.dense_scan(clustered, label_score(F.col("first")), least=20, high=1.2, high_share=0.5, domain_share=0.1)
