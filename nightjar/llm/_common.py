@@ -59,7 +59,8 @@ def range_bounds(df: DataFrame, column: str, buckets: int) -> list[int]:
     if buckets < 2:
         return []
     probabilities = [i / buckets for i in range(1, buckets)]
-    return sorted({int(x) for x in df.stat.approxQuantile(column, probabilities, 1 / (4 * buckets))})
+    found = df.stat.approxQuantile(column, probabilities, 1 / (4 * buckets))
+    return sorted({min(max(int(x), LONG_MIN), LONG_MAX) for x in found})  # a double near the end of the range may lie beyond it
 
 
 def range_bucket(x: Column, bounds: list[int]) -> Column:

@@ -71,3 +71,9 @@ def test_ties_nulls_and_empty(spark):
     got = omh.neighbour_fingerprints(spark.createDataFrame(rows, SCHEMA), buckets=3).collect()
     assert same([tuple(r) for r in got], brute(rows))
     assert omh.neighbour_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    ids = [2**63 - 1, 2**63 - 2, 2**63 - 600, 5, -(2**63) + 1, -(2**63), None]
+    frame = spark.createDataFrame([(i, f"text number {n} of them") for n, i in enumerate(ids)], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in omh.neighbour_fingerprints(frame).collect()) == sorted(i or 0 for i in ids)
