@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nightjar.functions.frames import counted
+
 # Bin widths in seconds that read well on a clock.
 WIDTHS = (1, 5, 10, 15, 30, 60, 300, 600, 900, 1800, 3600, 7200, 10_800, 21_600, 43_200, 86_400, 172_800, 604_800)
 OTHER = "(other)"
@@ -57,3 +59,79 @@ def merge_cells(counts: DataFrame, weights: DataFrame) -> DataFrame:
     keys = ["src", "dst", "svc", "bin"]
     both = counts.select(*keys, F.col("rows"), F.lit(0.0).alias("metric")).unionByName(weights.select(*keys, F.lit(0).cast("long").alias("rows"), "metric"))
     return both.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("metric").alias("metric"))
+
+
+# Least bins with rows, share of a dense bin's rows, bins of a tail, and its rows' greatest share as one in so many.
+DENSE_BINS, DENSITY, TAIL_BINS, MASS = 8, 0.05, 6, 1000
+
+
+def trim_sparse_edges(rows: DataFrame, width: float, least_bins: int = DENSE_BINS) -> DataFrame:
+    """rows (ts, duration) without thin outer runs: what starts between the first and the last dense bin, or reaches into them.
+
+    A bin is dense with 5 % of the upper quartile of the rows of bins that have any. A tail under six bins stays, and if the tails have over a
+    thousandth of all rows, everything does. Bins are counted once; the bounds are one row.
+    """
+    first = rows.agg(F.min("ts").alias("_t0"))
+    binned = rows.filter("ts IS NOT NULL").crossJoin(F.broadcast(first)).withColumn("_bin", F.floor((F.col("ts") - F.col("_t0")) / width).cast("long"))  # one row on the right
+    counts = binned.groupBy("_bin").agg(F.count("*").alias("n"))
+    dense = counts.agg(F.percentile("n", 0.75).alias("q"), F.count("*").alias("bins"), F.sum("n").alias("total"), F.max("_bin").alias("last"))
+    marked = counts.crossJoin(F.broadcast(dense))  # one row on the right
+    ends = marked.agg(
+        F.min(F.when(F.col("n") >= F.col("q") * DENSITY, F.col("_bin"))).alias("lo"), F.max(F.when(F.col("n") >= F.col("q") * DENSITY, F.col("_bin"))).alias("hi"),
+        F.max("bins").alias("bins"), F.max("total").alias("total"), F.max("last").alias("last"),
+    )
+    ends = ends.select("bins", "total", "last", F.when(F.col("lo") < TAIL_BINS, 0).otherwise(F.col("lo")).alias("lo"), F.when(F.col("last") - F.col("hi") < TAIL_BINS, F.col("last")).otherwise(F.col("hi")).alias("hi"))
+    gone = counts.crossJoin(F.broadcast(ends)).groupBy("bins", "total", "last", "lo", "hi").agg(F.sum(F.when((F.col("_bin") < F.col("lo")) | (F.col("_bin") > F.col("hi")), F.col("n")).otherwise(0)).alias("gone"))  # one row on the right
+    whole = (F.col("bins") < least_bins) | (F.col("gone") * MASS > F.col("total"))
+    span = gone.select(F.when(whole, 0).otherwise(F.col("lo")).alias("_lo"), F.when(whole, F.col("last")).otherwise(F.col("hi")).alias("_hi"))
+    start = F.col("_t0") + F.col("_lo") * width
+    reaches = (F.col("_lo") > 0) & (F.col("ts") < start) & (F.col("duration") > 0) & (F.col("ts") + F.col("duration") > start)
+    return binned.crossJoin(F.broadcast(span)).filter(F.col("_bin").between(F.col("_lo"), F.col("_hi")) | F.coalesce(reaches, F.lit(False))).drop("_t0", "_bin", "_lo", "_hi")  # one row on the right
+
+
+UNATTRIBUTED = "(unattributed)"
+# How a name was handled, by event.
+DISPOSITIONS = {"gravity_blocked": "blocked", "regex_blocked": "blocked", "cached": "cached", "forwarded": "forwarded", "config": "local"}
+
+
+def disposition(event: Column) -> Column:
+    """How an event handled its name; null for others."""
+    return F.coalesce(*[F.when(F.lower(event) == name, said) for name, said in DISPOSITIONS.items()])
+
+
+def attribute(asked: DataFrame, handled: DataFrame, domain: str = "domain") -> DataFrame:
+    """Queries fanned out over how their domain's names were handled, mass preserved: asked with svc and metric.
+
+    asked has ``domain``. handled: query, disposition, ts and ``domain``; the same handling of a name within a second counts once. A query's
+    weights are its domain's shares and sum to 1; one whose domain was never handled, or that has none, is (unattributed) with weight 1.
+    """
+    once = handled.filter(F.col("disposition").isNotNull() & F.col(domain).isNotNull()).select(domain, "query", "disposition", F.floor("ts").alias("_s")).distinct()
+    counts = once.groupBy(domain, "disposition").agg(F.count("*").alias("_n"))
+    shares = counts.withColumn("metric", F.col("_n") / F.sum("_n").over(Window.partitionBy(domain)))
+    shares = counted(shares.select(domain, F.col("disposition").alias("svc"), "metric"))
+    return asked.join(shares, domain, "left").withColumns({"svc": F.coalesce("svc", F.lit(UNATTRIBUTED)), "metric": F.coalesce("metric", F.lit(1.0))})
+
+
+def measures(cells: DataFrame, answered: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Series, flows and identities of a cube, ready to be drawn.
+
+    cells: src, dst, svc, bin, metric, rows. answered: src, dst, svc, orig, resp. Series have one row a cell with the share of its bin's
+    total. Flows have totals, the responder's share of what was measured both ways, and the colour of their service: its rank by total.
+    Identities of each side stand in the order of the weighted mean place of whom they talk to, places of the other side being ranks by total.
+    """
+    whole = Window.partitionBy("bin")
+    series = cells.withColumn("bin_total", F.sum("metric").over(whole)).withColumn("share", F.when(F.col("bin_total") > 0, F.col("metric") / F.col("bin_total")))
+    flows = cells.groupBy("src", "dst", "svc").agg(F.sum("metric").alias("metric"), F.sum("rows").alias("rows"), F.count("*").alias("bins"))
+    # ranks of identities after folding: as many rows as the fold's limits let through
+    rank = lambda name: flows.groupBy(name).agg(F.sum("metric").alias("_m")).select(name, F.row_number().over(Window.orderBy(F.desc(F.bround("_m", 6)), name)).alias("_r"))
+    both = F.col("orig") + F.col("resp")
+    back = answered.groupBy("src", "dst", "svc").agg(F.sum("orig").alias("orig"), F.sum("resp").alias("resp")).select("src", "dst", "svc", F.when(both > 0, F.col("resp") / both).alias("response_share"))
+    coloured = flows.join(rank("svc").withColumnRenamed("_r", "colour"), "svc").join(back, ["src", "dst", "svc"], "left")
+
+    def placed(side: str, other: str) -> DataFrame:
+        far = flows.groupBy(side, other).agg(F.sum("metric").alias("w")).join(rank(other), other)
+        centre = far.groupBy(side).agg(F.sum("w").alias("total"), (F.sum(F.col("w") * F.col("_r")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("centre"))
+        order = Window.orderBy(F.bround("centre", 6).asc_nulls_last(), F.desc(F.bround("total", 6)), side)
+        return centre.select(F.lit(side).alias("side"), F.col(side).alias("identity"), "total", "centre", F.row_number().over(order).alias("place"))
+
+    return series, coloured, placed("src", "dst").unionByName(placed("dst", "src"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,6 +91,37 @@ def claim_intervals(findings: DataFrame, events: DataFrame, before: float = 60.0
     return members.filter(F.col("_n") >= least).select("row_id", "host", "event", "start")
 
 
+def match_boots(boots: DataFrame, bursts: DataFrame, gap: float = 60.0) -> DataFrame:
+    """boots with the burst of their host that each one claims: (host, event, start, end, session, kind).
+
+    boots: host, event, start, end. bursts: host, session, first_ts, last_ts. In order of start a boot takes the burst nearest by start
+    (of equal ones the earlier) among those that its interval meets within ``gap`` and that no earlier boot took; each burst goes to one
+    boot at most. A boot without one, or without a time, is standalone. Whatever can meet lies in one chain of intervals
+    that are at most ``gap`` apart, so chains are taken one by one and a host's rows are never together.
+    """
+    timed = boots.filter("start IS NOT NULL").select("host", F.lit(True).alias("is_boot"), F.col("event").cast("long").alias("id"), "start", F.col("end").alias("stop"))
+    both = timed.unionByName(bursts.select("host", F.lit(False).alias("is_boot"), F.col("session").cast("long").alias("id"), F.col("first_ts").alias("start"), F.col("last_ts").alias("stop")))
+    order = Window.partitionBy("host").orderBy("start", "stop", "is_boot", "id")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = both.withColumn("_new", F.when(F.col("start") <= reach + gap, 0).otherwise(1))
+    chained = opened.withColumn("chain", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def claim(part: pd.DataFrame) -> pd.DataFrame:
+        host, free, out = part["host"].iloc[0], [b for b in part[~part["is_boot"]].sort_values(["start", "id"]).itertuples()], []
+        for boot in part[part["is_boot"]].sort_values(["start", "id"]).itertuples():
+            meets = [b for b in free if boot.start <= b.stop + gap and b.start <= boot.stop + gap]
+            nearest = min(meets, key=lambda b: (abs(b.start - boot.start), b.start, b.id), default=None)
+            if nearest is not None:
+                free.remove(nearest)
+                out.append((host, boot.id, nearest.id))
+        return pd.DataFrame(out, columns=["host", "id", "session"])
+
+    mixed = chained.withColumn("_b", F.max("is_boot").over(Window.partitionBy("host", "chain"))).filter("_b").select("host", "chain", "is_boot", "id", "start", "stop")
+    claims = mixed.groupBy("host", "chain").applyInPandas(claim, "host string, id long, session long")
+    found = boots.join(claims.select("host", F.col("id").alias("event"), "session"), ["host", "event"], "left")
+    return found.select("host", "event", "start", "end", "session", F.when(F.col("session").isNull(), "standalone").otherwise("labelled").alias("kind"))
+
+
 def transaction_units(claims: DataFrame, rows: DataFrame) -> DataFrame:
     """Claimed members folded per event: lines, programs, bounds."""
     joined = claims.select("row_id", "host", "event").join(rows.drop("host"), "row_id")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nightjar.functions.net import with_domain
 from nightjar.operators import cube
-from nightjar.plans.projections import conn, with_lanes
+from nightjar.plans.projections import conn, pihole, with_lanes
 from nightjar.registry import register
 
 _ROWS = "r AS (SELECT row_id, ts, src, dst, port || '/' || proto AS svc, bytes::DOUBLE AS metric, greatest(duration, 0) * 40 AS duration FROM conn)"
@@ -42,3 +43,56 @@ def outer_merge_cells(spark, sf_dir):
     counts = rows.filter("svc LIKE '%/tcp'").groupBy("src", "dst", "svc", "bin").agg(F.count("*").alias("rows"))
     weights = rows.filter("metric > 20000").groupBy("src", "dst", "svc", "bin").agg(F.sum("metric").alias("metric"))
     return cube.merge_cells(counts, weights)
+
+
+_EDGES = """r AS (SELECT row_id, CASE WHEN row_id % 10000 IN (7, 13) THEN ts - 5184000 WHEN row_id % 10000 = 11 THEN ts + 5184000 ELSE ts END AS ts, CASE WHEN row_id % 10000 = 7 THEN 6000000.0 ELSE duration END AS duration FROM conn),
+  b AS (SELECT *, floor((ts - (SELECT min(ts) FROM r)) / 86400)::BIGINT AS bin, (SELECT min(ts) FROM r) AS t0 FROM r), n AS (SELECT bin, count(*) AS n FROM b GROUP BY bin), q AS (SELECT quantile_cont(n, 0.75) AS q, count(*) AS bins, sum(n) AS total, max(bin) AS last FROM n),
+  e AS (SELECT min(bin) AS lo, max(bin) AS hi FROM n, q WHERE n >= q * 0.05), f AS (SELECT CASE WHEN lo < 6 THEN 0 ELSE lo END AS lo, CASE WHEN last - hi < 6 THEN last ELSE hi END AS hi, bins, total, last FROM e, q),
+  g AS (SELECT coalesce(sum(n) FILTER (bin < lo OR bin > hi), 0) AS gone FROM n, f), k AS (SELECT CASE WHEN bins < 8 OR gone * 1000 > total THEN 0 ELSE lo END AS lo, CASE WHEN bins < 8 OR gone * 1000 > total THEN last ELSE hi END AS hi FROM f, g)
+  SELECT row_id, ts, duration FROM b, k WHERE bin BETWEEN lo AND hi OR (lo > 0 AND ts < t0 + lo * 86400 AND duration > 0 AND ts + duration > t0 + lo * 86400)"""
+
+
+@register("trim_sparse_edges", with_lanes(_EDGES, "conn"))
+def trim_sparse_edges(spark, sf_dir):
+    moved = F.expr("case when row_id % 10000 in (7, 13) then ts - 5184000 when row_id % 10000 = 11 then ts + 5184000 else ts end")
+    rows = conn(spark, sf_dir).select("row_id", moved.alias("ts"), F.expr("if(row_id % 10000 = 7, 6000000.0D, duration)").alias("duration"))
+    return cube.trim_sparse_edges(rows, 86_400.0)
+
+
+@register("pihole_attribute_join", with_lanes("""d AS (SELECT *, regexp_replace(query, '^[^.]+[.]', '') AS domain FROM pihole), h AS (SELECT DISTINCT domain, query, CASE event_type WHEN 'gravity_blocked' THEN 'blocked' ELSE event_type END AS svc, floor(ts) AS s FROM d WHERE event_type <> 'query'), c AS (SELECT domain, svc, count(*) AS n FROM h GROUP BY ALL),
+  w AS (SELECT domain, svc, n / sum(n) OVER (PARTITION BY domain)::DOUBLE AS metric FROM c)
+  SELECT row_id, src, query, coalesce(svc, '(unattributed)') AS svc, round_even(coalesce(metric, 1), 9) AS metric FROM d LEFT JOIN w USING (domain) WHERE event_type = 'query'""", "pihole"))
+def pihole_attribute_join(spark, sf_dir):
+    lane = with_domain(pihole(spark, sf_dir), "query")
+    handled = lane.select("domain", "query", cube.disposition(F.col("event_type")).alias("disposition"), "ts")
+    found = cube.attribute(lane.filter("event_type = 'query'").select("row_id", "src", "query", "domain"), handled)
+    return found.select("row_id", "src", "query", "svc", F.bround("metric", 9).alias("metric"))
+
+
+_FLOWS = "cells AS (SELECT src, dst, port % 12 || '/' || proto AS svc, floor(ts / 86400)::BIGINT AS bin, sum(bytes)::DOUBLE AS metric, count(*) AS rows FROM conn GROUP BY ALL), flows AS (SELECT src, dst, svc, sum(metric) AS metric, sum(rows)::BIGINT AS rows, count(*) AS bins FROM cells GROUP BY ALL)"
+
+
+def _drawn(spark, sf_dir):
+    lane = conn(spark, sf_dir).withColumn("svc", F.expr("(port % 12) || '/' || proto"))
+    cells = lane.groupBy("src", "dst", "svc", F.floor(F.col("ts") / 86_400).cast("long").alias("bin")).agg(F.sum("bytes").cast("double").alias("metric"), F.count("*").alias("rows"))
+    return cube.measures(cells, lane.filter("resp_bytes IS NOT NULL").select("src", "dst", "svc", F.col("bytes").alias("orig"), F.col("resp_bytes").alias("resp")))
+
+
+@register("cube_series", with_lanes(f"{_FLOWS} SELECT *, sum(metric) OVER (PARTITION BY bin) AS bin_total, round_even(metric / nullif(sum(metric) OVER (PARTITION BY bin), 0), 9) AS share FROM cells", "conn"))
+def cube_series(spark, sf_dir):
+    return _drawn(spark, sf_dir)[0].withColumn("share", F.bround("share", 9))
+
+
+@register("cube_flows", with_lanes(f"""{_FLOWS}, v AS (SELECT svc, row_number() OVER (ORDER BY sum(metric) DESC, svc)::INTEGER AS colour FROM flows GROUP BY svc), a AS (SELECT src, dst, port % 12 || '/' || proto AS svc, sum(resp_bytes) / nullif(sum(bytes + resp_bytes), 0)::DOUBLE AS r FROM conn WHERE resp_bytes IS NOT NULL GROUP BY ALL)
+  SELECT src, dst, svc, metric, rows, bins, colour, round_even(r, 9) AS response_share FROM flows JOIN v USING (svc) LEFT JOIN a USING (src, dst, svc)""", "conn"))
+def cube_flows(spark, sf_dir):
+    return _drawn(spark, sf_dir)[1].withColumn("response_share", F.bround("response_share", 9))
+
+
+_PLACED = lambda side, other: f"""(SELECT '{side}' AS side, k AS identity, total, centre, row_number() OVER (ORDER BY round_even(centre, 6) NULLS LAST, total DESC, k)::INTEGER AS place
+  FROM (SELECT f.{side} AS k, sum(metric) AS total, sum(metric * r) / nullif(sum(metric), 0) AS centre FROM flows f JOIN (SELECT {other}, row_number() OVER (ORDER BY sum(metric) DESC, {other}) AS r FROM flows GROUP BY {other}) o USING ({other}) GROUP BY f.{side}))"""
+
+
+@register("cube_measures", with_lanes(f"{_FLOWS} SELECT side, identity, total, round_even(centre, 6) AS centre, place FROM {_PLACED('src', 'dst')} UNION ALL SELECT side, identity, total, round_even(centre, 6), place FROM {_PLACED('dst', 'src')}", "conn"))
+def cube_measures(spark, sf_dir):
+    return _drawn(spark, sf_dir)[2].withColumn("centre", F.bround("centre", 6))

@@ -54,6 +54,22 @@ def boot_events(spark, sf_dir):
     return events.anchored_events(syslog(spark, sf_dir), F.col("program") == "error", 3600.0)
 
 
+_MATCH = _ANCH.replace("s AS (", "sa AS (", 1).replace("o AS (SELECT", "oa AS (SELECT", 1).replace("FROM o)", "FROM oa)", 1).replace("FROM s GROUP BY", "FROM sa GROUP BY", 1) + ", " + _SESS.format(gap=600, rows="syslog") + """,
+  b AS (SELECT host, session, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY host, session HAVING count(*) >= 3),
+  c AS (SELECT e.host, e.event, e.start, list(b.session ORDER BY abs(b.first_ts - e.start), b.first_ts) FILTER (b.session IS NOT NULL) AS options FROM e LEFT JOIN b ON b.host = e.host AND e.start <= b.last_ts + 600 AND b.first_ts <= e."end" + 600 GROUP BY ALL),
+  n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY start) AS i FROM c),
+  g AS (SELECT host, 0::BIGINT AS i, NULL::HUGEINT AS pick, []::HUGEINT[] AS taken FROM (SELECT DISTINCT host FROM e)
+    UNION ALL SELECT g.host, n.i, p.pick, CASE WHEN p.pick IS NULL THEN taken ELSE list_append(taken, p.pick) END FROM g JOIN n ON n.host = g.host AND n.i = g.i + 1, LATERAL (SELECT list_filter(n.options, lambda x: NOT list_contains(g.taken, x))[1] AS pick) p)
+  SELECT e.host, e.event::BIGINT AS event, e.start, e."end", g.pick::BIGINT AS session, CASE WHEN g.pick IS NULL THEN 'standalone' ELSE 'labelled' END AS kind FROM e JOIN n USING (host, event) JOIN g ON g.host = n.host AND g.i = n.i"""
+
+
+@register("boot_burst_match", with_lanes(_MATCH, "syslog").replace("WITH ", "WITH RECURSIVE ", 1))
+def boot_burst_match(spark, sf_dir):
+    lane = syslog(spark, sf_dir)
+    boots = events.anchored_events(lane, F.col("program") == "error", 3600.0)
+    return events.match_boots(boots, events.burst_collapse(lane, 600.0, 3)[0], 600.0)
+
+
 @register("update_runs", with_lanes(_ANCH + " SELECT host, event::BIGINT AS event, anchors, start, \"end\" FROM e WHERE anchors >= 2", "syslog"))
 def update_runs(spark, sf_dir):
     return events.anchored_events(syslog(spark, sf_dir), F.col("program") == "error", 3600.0, 2)
