@@ -15,47 +15,79 @@ from nightjar.operators.events import masked
 ANY = "<*>"
 
 
-def _merged(messages: list[list[str]], least: float) -> list[list[str]]:
-    """Templates of token lists of one length, in order: a list joins the likeliest template or opens one.
+def _put(templates: list[list[str]], tokens: list[str], least: float) -> None:
+    """Let a token list join the likeliest template of its length, or open one.
 
     Likeness is the share of places with equal tokens, open places not counting; of equal ones that with more open places.
     """
+    best, found = (least, -1), None
+    for i, t in enumerate(templates):
+        same = sum(a == b != ANY for a, b in zip(t, tokens, strict=True)) / len(tokens)
+        rank = (same, sum(a == ANY for a in t))
+        if rank > best or (found is None and rank[0] >= least):
+            best, found = rank, i
+    if found is None:
+        templates.append(list(tokens))
+    else:
+        templates[found] = [a if a == b else ANY for a, b in zip(templates[found], tokens, strict=True)]
+
+
+def _merged(messages: list[list[str]], least: float) -> list[list[str]]:
+    """Templates of token lists of one length, put in order."""
     templates: list[list[str]] = []
     for tokens in messages:
-        best, found = (least, -1), None
-        for i, t in enumerate(templates):
-            same = sum(a == b != ANY for a, b in zip(t, tokens, strict=True)) / len(tokens)
-            rank = (same, sum(a == ANY for a in t))
-            if rank > best or (found is None and rank[0] >= least):
-                best, found = rank, i
-        if found is None:
-            templates.append(list(tokens))
-        else:
-            templates[found] = [a if a == b else ANY for a, b in zip(templates[found], tokens, strict=True)]
+        _put(templates, tokens, least)
     return templates
 
 
+def _bucket(tokens: Column, leading: int) -> Column:
+    """The path of a message in the prefix tree: its length, then its leading tokens, those with a digit being open."""
+    heads = [F.when(F.get(tokens, F.lit(i)).rlike(r"\d"), ANY).otherwise(F.get(tokens, F.lit(i))) for i in range(leading)]
+    return F.concat_ws(" ", F.size(tokens).cast("string"), *heads)
+
+
+def _grow(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """A task's partial tree from its rows (_bucket, _masked, _first), bucket by bucket in order: its leaves' templates, not its messages, are held."""
+    bucket, open_, first = None, [], []
+    for batch in batches:
+        out = []
+        for name, masked_, at in zip(batch["_bucket"], batch["_masked"], batch["_first"], strict=True):
+            if name != bucket:
+                out += [(bucket, " ".join(t), f) for t, f in zip(open_, first, strict=True)]
+                bucket, open_, first = name, [], []
+            known = len(open_)
+            _put(open_, masked_.split(" "), least)
+            if len(open_) > known:
+                first.append(at)
+        yield pd.DataFrame(out, columns=["_bucket", "template", "_first"])
+    yield pd.DataFrame([(bucket, " ".join(t), f) for t, f in zip(open_, first, strict=True)], columns=["_bucket", "template", "_first"])
+
+
 def mine_templates(rows: DataFrame, message: str = "message", least: float = 0.5, leading: int = 2) -> DataFrame:
-    """rows with `template`. Messages are masked and made distinct; those of one length and leading tokens are merged in one task.
+    """rows with `template`, by a prefix tree of fixed depth: length, leading tokens, then templates of a least likeness.
 
-    A leading token with a digit is open. The order of merging is (first time, message), so reruns agree. A message takes the
-    template of its bucket that fits it best once all are known. A bucket holds distinct masked messages, not rows.
+    Messages are masked and made distinct, and dealt by their text, so that a leaf with very many messages is grown in many tasks. The partial
+    trees' templates of a leaf then meet and are merged in the order of (first time, text) as messages are, so reruns agree. A message takes
+    the template of its leaf that fits it with most fixed tokens, then the first in order. A null message has no template.
     """
     text = rows.withColumn("_masked", F.trim(F.regexp_replace(masked(F.col(message)), r"\s+", " ")))
     distinct = text.filter("_masked IS NOT NULL").groupBy("_masked").agg(F.min("ts").alias("_first"))
-    tokens = F.split("_masked", " ")
-    heads = [F.when(F.get(tokens, F.lit(i)).rlike(r"\d"), ANY).otherwise(F.get(tokens, F.lit(i))) for i in range(leading)]
-    keyed = distinct.withColumn("_bucket", F.concat_ws(" ", F.size(tokens).cast("string"), *heads))
+    keyed = checkpointed(distinct.withColumn("_tokens", F.split("_masked", " ")).withColumn("_bucket", _bucket(F.col("_tokens"), leading)))
+    order = [F.col("_bucket"), F.col("_first").asc_nulls_last(), F.col("_masked")]
+    dealt = keyed.select("_bucket", "_masked", "_first").repartition("_masked").sortWithinPartitions(*order)
+    partial = dealt.mapInPandas(lambda batches: _grow(batches, least), "_bucket string, template string, _first double").filter("_bucket IS NOT NULL")
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_first", "_masked"], na_position="last")
-        split = [m.split(" ") for m in part["_masked"]]
-        templates = _merged(split, least)
-        fits = lambda t, m: all(a in (ANY, b) for a, b in zip(t, m, strict=True))
-        closest = [max((t for t in templates if fits(t, m)), key=lambda t: sum(a != ANY for a in t), default=m) for m in split]
-        return pd.DataFrame({"_masked": part["_masked"], "template": [" ".join(t) for t in closest]})
-
-    found = keyed.groupBy("_bucket").applyInPandas(merge, "_masked string, template string")
+        part = part.sort_values(["_first", "template"], na_position="last")
+        merged = _merged([t.split(" ") for t in part["template"]], least)
+        return pd.DataFrame({"_bucket": part["_bucket"].iloc[0], "template": [" ".join(t) for t in merged], "place": range(len(merged))})
+
+    leaves = partial.groupBy("_bucket").applyInPandas(merge, "_bucket string, template string, place int")
+    listed = counted(leaves.groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct("place", "template"))).alias("_leaf")))
+    fixed = lambda parts: F.size(F.filter(parts, lambda t: t != ANY))
+    fits = lambda t: F.forall(F.zip_with(F.split(t, " "), "_tokens", lambda a, b: (a == ANY) | (a == b)), lambda x: x)
+    best = F.array_max(F.transform(F.filter("_leaf", lambda x: fits(x["template"])), lambda x: F.struct(fixed(F.split(x["template"], " ")).alias("fixed"), (-x["place"]).alias("place"), x["template"].alias("template"))))
+    found = keyed.join(listed, "_bucket").select("_masked", F.coalesce(best["template"], "_masked").alias("template"))
     return text.join(found, "_masked", "left").drop("_masked")
 
 

@@ -10,15 +10,9 @@ from nightjar.operators.density import density_clusters
 from nightjar.plans.projections import dns, syslog, with_lanes
 from nightjar.registry import register
 
-_WORDS = ("alpha", "beta", "gamma", "delta", "epsilon")
-_MESSAGE = "program || '[*]: user ' || (row_id % 97) || ' did ' || {words} || ' for value ' || row_id || ' ok'"
-
-
-@register("mine_templates", with_lanes("SELECT program || '[*]: user <*> did <*> for value <*> ok' AS template, count(*) AS rows, min(ts) AS first_ts FROM syslog GROUP BY 1", "syslog"))
+@register("mine_templates", with_lanes("SELECT program || '[*]: user <*> value <*>' AS template, count(*) AS rows, min(ts) AS first_ts FROM syslog GROUP BY 1", "syslog"))
 def mine_templates(spark, sf_dir):
-    words = "element_at(array({}), cast(row_id % 5 as int) + 1)".format(", ".join(f"'{w}'" for w in _WORDS))
-    rows = syslog(spark, sf_dir).withColumn("message", F.expr(_MESSAGE.format(words=words)))
-    return mining.mine_templates(rows).groupBy("template").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"))
+    return mining.mine_templates(syslog(spark, sf_dir)).groupBy("template").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"))
 
 
 def _features(spark, sf_dir):
