@@ -47,21 +47,28 @@ def host_spread(decisions: DataFrame, least: int = 3) -> DataFrame:
     return denied.agg(F.countDistinct(F.lower("host")).alias("hosts"), F.count("*").alias("denials")).filter(F.col("hosts") >= least)
 
 
-def landing_runs(decisions: DataFrame, least: int = 6) -> DataFrame:
+def _matching(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys in which a missing value meets a missing value; the right side's keys are dropped."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def landing_runs(decisions: DataFrame, least: int = 6, keys: list[str] = KEY) -> DataFrame:
     """A run of denials followed by a grant on one key.
 
     Rows of one instant are a batch; a batch with both outcomes is an unresolved tie. The island of a batch is the
     number of batches with a grant before it, so a run ends with its first grant.
     """
-    key = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in KEY])
-    batches = decisions.filter("ts IS NOT NULL AND outcome IN ('denied', 'granted')").groupBy(*KEY, "ts").agg(F.count_if(F.col("outcome") == "denied").alias("denied"), F.count_if(F.col("outcome") == "granted").alias("granted"))
-    order = Window.partitionBy(*KEY).orderBy("ts")
+    key = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in keys])
+    batches = decisions.filter("ts IS NOT NULL AND outcome IN ('denied', 'granted')").groupBy(*keys, "ts").agg(F.count_if(F.col("outcome") == "denied").alias("denied"), F.count_if(F.col("outcome") == "granted").alias("granted"))
+    order = Window.partitionBy(*keys).orderBy("ts")
     islands = batches.withColumn("island", F.coalesce(F.sum((F.col("granted") > 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    runs = islands.groupBy(*KEY, "island").agg(F.sum("denied").alias("denials"), F.max(F.when(F.col("granted") > 0, F.col("ts"))).alias("granted_ts"), F.max((F.col("granted") > 0) & (F.col("denied") > 0)).alias("tie"), F.min("ts").alias("first_ts"))
+    runs = islands.groupBy(*keys, "island").agg(F.sum("denied").alias("denials"), F.max(F.when(F.col("granted") > 0, F.col("ts"))).alias("granted_ts"), F.max((F.col("granted") > 0) & (F.col("denied") > 0)).alias("tie"), F.min("ts").alias("first_ts"))
     landed = runs.filter((F.col("denials") >= least) & F.col("granted_ts").isNotNull())
-    later = decisions.filter("outcome = 'denied'").groupBy(*KEY).agg(F.max("ts").alias("last_denied"))
-    out = landed.join(later, KEY, "left").withColumn("state", F.when(F.col("tie"), "tie-unresolved").when(F.coalesce(F.col("last_denied") > F.col("granted_ts"), F.lit(False)), "resumed").otherwise("ceased"))
-    return out.withColumn("id", F.substring(F.sha2(F.concat_ws("|", key, "island"), 256), 1, 20)).select(*KEY, "denials", "first_ts", "granted_ts", "state", "id")
+    later = decisions.filter("outcome = 'denied'").groupBy(*keys).agg(F.max("ts").alias("last_denied"))
+    out = landed.join(later, keys, "left").withColumn("state", F.when(F.col("tie"), "tie-unresolved").when(F.coalesce(F.col("last_denied") > F.col("granted_ts"), F.lit(False)), "resumed").otherwise("ceased"))
+    return out.withColumn("id", F.substring(F.sha2(F.concat_ws("|", key, "island"), 256), 1, 20)).select(*keys, "denials", "first_ts", "granted_ts", "state", "id")
 
 
 def firing_facts(decisions: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -85,18 +92,18 @@ def findings(decisions: DataFrame, concentration_least: int = 100, landing_least
     """
     said = lambda *c: F.concat_ws(" ", *c)
     denied = decisions.filter("outcome = 'denied'")
-    landed = landing_runs(decisions, landing_least)
-    packed = concentration(decisions, concentration_least).join(landed.select(*KEY).distinct(), KEY, "left_anti")
+    landed = landing_runs(decisions, landing_least, [*KEY, "actor_namespace"])
+    packed = _matching(concentration(decisions, concentration_least), landed.select(*KEY).distinct(), KEY, "left_anti")
     spread = denied.filter("source IS NOT NULL AND actor IS NOT NULL").groupBy(*EDGE).agg(F.countDistinct(F.lower("host")).alias("hosts"), F.count("*").alias("denials")).filter(F.col("hosts") >= spread_least)
-    taken = landed.join(spread.select("source", "actor").distinct(), ["source", "actor"], "left_semi")
-    absorbed = taken.groupBy("source", "actor").agg(F.count("*").alias("landings"))
-    alone = landed.join(taken.select(*KEY, "id"), [*KEY, "id"], "left_anti")
+    edges = spread.select(*EDGE).distinct()
+    absorbed = _matching(landed, edges, EDGE, "left_semi").groupBy(*EDGE).agg(F.count("*").alias("landings"))
+    alone = _matching(landed, edges, EDGE, "left_anti")
     none = F.lit(0).cast("long").alias("landings")
     key = said(*KEY).alias("identity")
     parts = {
         "concentration": packed.select(F.lit("concentration").alias("signal"), key, "denials", none, F.lit(None).cast("string").alias("of_source"), F.lit(None).cast("string").alias("of_actor")),
         "landing": alone.select(F.lit("landing").alias("signal"), key, "denials", none, F.lit(None).cast("string").alias("of_source"), F.lit(None).cast("string").alias("of_actor")),
-        "host_spread": spread.join(absorbed, ["source", "actor"], "left").select(F.lit("host_spread").alias("signal"), said(*EDGE).alias("identity"), "denials", F.coalesce("landings", F.lit(0)).cast("long").alias("landings"), F.col("source").alias("of_source"), said("actor_namespace", "actor").alias("of_actor")),
+        "host_spread": _matching(spread, absorbed, EDGE, "left").select(F.lit("host_spread").alias("signal"), said(*EDGE).alias("identity"), "denials", F.coalesce("landings", F.lit(0)).cast("long").alias("landings"), F.col("source").alias("of_source"), said("actor_namespace", "actor").alias("of_actor")),
     }
     for signal, columns, mark in (("source_volume", ["source"], "of_source"), ("account_volume", ["actor_namespace", "actor"], "of_actor")):
         there = denied.filter(" AND ".join(f"{c} IS NOT NULL" for c in columns)).groupBy(*columns).agg(F.count("*").alias("denials")).filter(F.col("denials") >= volume_least)
