@@ -34,7 +34,7 @@ def longest_connection(rows: DataFrame) -> DataFrame:
     """One row: the longest duration, its earliest start, rows with a duration, rows of a day and more."""
     finite = F.col("duration").isNotNull() & ~F.isnan("duration")
     top = F.max(F.when(finite, F.struct("duration", (-F.unix_micros("began")).alias("t"))))
-    facts = rows.agg(top.alias("m"), F.count("*").alias("rows"), F.count_if(finite).alias("measured"), *[F.count_if(F.col("duration") >= d * 86400).alias(f"over_{d}d") for d in (1, 7, 14)])
+    facts = rows.agg(top.alias("m"), F.count("*").alias("rows"), F.count_if(finite).alias("measured"), *[F.count_if(finite & (F.col("duration") >= d * 86400)).alias(f"over_{d}d") for d in (1, 7, 14)])
     return facts.select(F.col("m.duration").alias("longest"), F.timestamp_micros(-F.col("m.t")).alias("started"), "rows", "measured", "over_1d", "over_7d", "over_14d")
 
 
