@@ -96,3 +96,36 @@ _PLACED = lambda side, other: f"""(SELECT '{side}' AS side, k AS identity, total
 @register("cube_measures", with_lanes(f"{_FLOWS} SELECT side, identity, total, round_even(centre, 6) AS centre, place FROM {_PLACED('src', 'dst')} UNION ALL SELECT side, identity, total, round_even(centre, 6), place FROM {_PLACED('dst', 'src')}", "conn"))
 def cube_measures(spark, sf_dir):
     return _drawn(spark, sf_dir)[2].withColumn("centre", F.bround("centre", 6))
+
+
+_PLACES = """k AS (SELECT row_id, ts, src, dst, port % 40 || '/' || proto AS svc, bytes::DOUBLE AS metric, duration FROM conn),
+  rs AS (SELECT src, row_number() OVER (ORDER BY sum(metric) DESC, count(*) DESC, src) AS s FROM k GROUP BY src), rd AS (SELECT dst, row_number() OVER (ORDER BY sum(metric) DESC, count(*) DESC, dst) AS d FROM k GROUP BY dst), rv AS (SELECT svc, row_number() OVER (ORDER BY sum(metric) DESC, count(*) DESC, svc) AS v FROM k GROUP BY svc),
+  p AS (SELECT k.*, s, d, v FROM k JOIN rs USING (src) JOIN rd USING (dst) JOIN rv USING (svc)), f AS (SELECT DISTINCT s, d, v FROM p),
+  cs AS (SELECT l AS "limit", count(DISTINCT (least(s, 31), least(d, 31), least(v, l + 1))) AS groups FROM f, range(1, 17) t(l) GROUP BY l), ch AS (SELECT l AS "limit", count(DISTINCT (least(s, l + 1), least(d, l + 1), least(v, 2))) AS groups FROM f, range(1, 31) t(l) GROUP BY l)"""
+
+
+def _served(spark, sf_dir):
+    return conn(spark, sf_dir).select("row_id", "ts", "src", "dst", F.expr("(port % 40) || '/' || proto").alias("svc"), F.col("bytes").cast("double").alias("metric"), "duration")
+
+
+@register("limit_curve", with_lanes(f"""{_PLACES} SELECT 'services' AS kind, "limit"::INTEGER AS "limit", groups FROM cs UNION ALL SELECT 'hosts', "limit"::INTEGER, groups FROM ch""", "conn"))
+def limit_curve(spark, sf_dir):
+    places = cube.ranked(_served(spark, sf_dir).withColumn("rows", F.lit(1)), cube.HOSTS, cube.SERVICES)
+    kind = lambda vary, services: cube.limit_curve(places, vary, cube.HOSTS, services).select(F.lit(vary).alias("kind"), "limit", "groups")
+    return kind("services", cube.SERVICES).unionByName(kind("hosts", 1))
+
+
+_WIDTHS = ", ".join(f"({w})" for w in (*cube.WIDTHS[4:], 1_209_600, 1_814_400, 2_419_200, 3_024_000))
+# every width that may be tried, from a minute to one bin for the span; a width beyond the first that covers it changes nothing
+
+
+@register("fit_budget", with_lanes(f"""{_PLACES}, lim AS (SELECT coalesce((SELECT max("limit") FROM cs WHERE groups <= 1200), 1) AS sv, CASE WHEN EXISTS (SELECT 1 FROM cs WHERE groups <= 1200) THEN 30 ELSE coalesce((SELECT max("limit") FROM ch WHERE groups <= 1200), 1) END AS h),
+  q AS (SELECT CASE WHEN s <= h THEN src ELSE '(other)' END AS src, CASE WHEN d <= h THEN dst ELSE '(other)' END AS dst, CASE WHEN v <= sv THEN svc ELSE '(other)' END AS svc, ts - (SELECT min(ts) FROM k) AS ts, duration, metric, (SELECT max(ts) - min(ts) FROM k) AS span FROM p, lim),
+  w(w) AS (VALUES {_WIDTHS}), x AS (SELECT *, floor(ts / w)::BIGINT AS f, greatest(floor(ts / w), least(ceil((ts + duration) / w) - 1, floor(span / w)))::BIGINT AS l FROM q, w), y AS (SELECT *, unnest(range(f, l + 1)) AS bin FROM x),
+  n AS (SELECT w, count(DISTINCT (src, dst, svc, bin)) AS n FROM y GROUP BY w), best AS (SELECT min(w) AS w FROM n WHERE n <= 6000)
+  SELECT sv::INTEGER AS services, h::INTEGER AS hosts, w::INTEGER AS width, src, dst, svc, bin, count(*) FILTER (bin = f) AS rows, round_even(sum(CASE WHEN duration > 0 THEN metric * (least(ts + duration, (bin + 1) * w::DOUBLE) - greatest(ts, bin * w::DOUBLE)) / duration ELSE metric END), 3) AS metric
+  FROM y, lim WHERE w = (SELECT w FROM best) GROUP BY ALL""", "conn"))
+def fit_budget(spark, sf_dir):
+    cells, fit = cube.fit_budget(_served(spark, sf_dir), 60, flows=1200, cells=6000)
+    chosen = {"hosts": F.lit(fit.hosts), "services": F.lit(fit.services), "width": F.lit(fit.width)}
+    return cells.withColumn("metric", F.bround("metric", 3)).withColumns(chosen)
