@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from nightjar.llm.feistel_shards import ROUNDS, SEED, SHARDS
 from nightjar.llm.license_scan import LEAST_SHARE, TEMPLATES
 
 _OP7 = r"""
@@ -109,7 +110,48 @@ SELECT conv_id, perspective, place, turn, speaker, shown_as, segment, start,
 FROM o
 """
 
+
+
+def _crc_step(value: int) -> int:
+    for _ in range(8):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+def _mix(x: str) -> str:
+    """Two multiply-xorshift steps over 64 bits, in numbers of 128 bits."""
+    step = lambda v, shift: f"list_transform([{v}], lambda v: xor(v, v >> {shift}))[1]"
+    times = lambda v, by: f"(({v})::UHUGEINT * {by} % 18446744073709551616)::UBIGINT"
+    return step(times(step(times(step(x, 30), 0xBF58476D1CE4E5B9), 27), 0x94D049BB133111EB), 31)
+
+
+_OP10 = f"""
+WITH RECURSIVE t AS (SELECT {[_crc_step(i) for i in range(256)]}::UINTEGER[] AS crc_of
+), c AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size,
+         list_reduce(list_prepend(4294967295::UINTEGER, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UINTEGER)),
+                     lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])) AS c
+  FROM documents, t
+), d AS (
+  SELECT doc_id, size, xor(c, 4294967295::UINTEGER)::BIGINT AS text_crc32,
+         (row_number() OVER (ORDER BY doc_id NULLS FIRST, size, xor(c, 4294967295::UINTEGER)) - 1)::UBIGINT AS place, (count(*) OVER ())::UBIGINT AS n FROM c
+), h AS (
+  SELECT greatest(1, (length(bin(greatest(max(n)::BIGINT - 1, 1))) + 1) // 2) AS half FROM d
+), k AS (
+  SELECT list({_mix(f"((i::UHUGEINT * 11400714819323198485 + {SEED}) % 18446744073709551616)::UBIGINT")} ORDER BY i) AS keys FROM range(1, {ROUNDS} + 1) r(i)
+), f(place, n, half, low, keys, a, b, round) AS (
+  SELECT place, n, half, (1::UBIGINT << half) - 1, keys, place >> half, place & ((1::UBIGINT << half) - 1), 0 FROM d, h, k
+  UNION ALL
+  SELECT place, n, half, low, keys, b, xor(a, {_mix("((b::UHUGEINT + keys[round % " + str(ROUNDS) + " + 1]) % 18446744073709551616)::UBIGINT")} & low), round + 1
+  FROM f WHERE round = 0 OR round % {ROUNDS} > 0 OR (a << half) + b >= n
+), p AS (
+  SELECT place, ((a << half) + b)::BIGINT AS spot FROM f WHERE round > 0 AND round % {ROUNDS} = 0 AND (a << half) + b < n
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (spot % {SHARDS})::INTEGER AS shard, spot // {SHARDS} AS slot, NULL::INTEGER AS grown_shard FROM d JOIN p USING (place)
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_feistel_shards": _OP10,
     "op6_license_scan": _OP6,
     "op9_perspective_rotation": _OP9,
     "op7_cuckoo_exact_dedup": _OP7,
