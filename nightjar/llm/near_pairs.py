@@ -3,6 +3,9 @@
 A group of up to ``hot`` rows is compared where it is. A larger one isn't: its rows are dealt anew by its key together
 with each of ``_SUBSETS`` choices of eight fingerprint bits, over many tasks, so that near rows meet with a chance that falls
 slowly with their distance (0.99 at 13 differing bits of 64) and no task compares the whole group.
+
+A group over ``BIG`` first gives pairs that connect it. If some of these fail the caller's test, the group's components
+are known from the others, and ``straddling`` tests all pairs of different components where the group is.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nightjar.llm._common import forest, mix64, partitions, pinned
 
@@ -111,8 +115,12 @@ def within_bits(within: int, least: float) -> Pairing:
     return pairs
 
 
+#: What a row of _paired's result is: a pair, a row of a group over ``hot``, a row of another group over BIG
+_PAIR, _AGAIN, _LARGE = 0, 1, 2
+
+
 def _paired(pairing: Pairing, hot: int | None):
-    """(a, b) node pairs; of groups over ``hot`` the rows themselves, as (node, key, n, fp, again)."""
+    """(a, b) node pairs; of groups over ``hot`` or BIG also the rows themselves, as (node, key, n, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_group(batches, ["key"]):
@@ -126,8 +134,10 @@ def _paired(pairing: Pairing, hot: int | None):
             size = np.repeat(np.diff(np.r_[starts, len(key)]), np.diff(np.r_[starts, len(key)]))
             if hot is not None and (size > hot).any():
                 over = size > hot
-                yield _batch(node[over], key[over], n[over], fp[over], fp2[over], True)
+                yield _batch(node[over], key[over], n[over], fp[over], fp2[over], _AGAIN)
                 size[over] = 0
+            if (large := (size > BIG) & (fp != 0)).any():
+                yield _batch(node[large], key[large], n[large], fp[large], fp2[large], _LARGE)
             use = size > 1
             key, node, n, fp, fp2 = (x[use] for x in (key, node, n, fp, fp2))
             found = [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]) for i, j in pairing(key, n, fp, fp2) if len(i)]
@@ -137,14 +147,14 @@ def _paired(pairing: Pairing, hot: int | None):
                 a, b = a[order], b[order]
                 once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
                 none = np.zeros(int(once.sum()), np.uint64)
-                yield _batch(a[once], b[once], none.astype(np.int32), none, none, False)
+                yield _batch(a[once], b[once], none.astype(np.int32), none, none, _PAIR)
 
     return run
 
 
-def _batch(a: np.ndarray, b: np.ndarray, n: np.ndarray, fp: np.ndarray, fp2: np.ndarray, again: bool) -> pa.RecordBatch:
-    columns = [pa.array(a), pa.array(b), pa.array(n), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(np.full(len(a), again))]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "fp", "fp2", "again"])
+def _batch(a: np.ndarray, b: np.ndarray, n: np.ndarray, fp: np.ndarray, fp2: np.ndarray, kind: int) -> pa.RecordBatch:
+    columns = [pa.array(a), pa.array(b), pa.array(n), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(np.full(len(a), kind, np.int8))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "fp", "fp2", "kind"])
 
 
 def _anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +165,71 @@ def _anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sub), pa.array(node), pa.array(n), pa.array(fp), pa.array(fp2)], names=["key", "node", "n", "fp", "fp2"])
 
 
-def candidates(rows: DataFrame, pairing: Pairing, hot: int = HOT) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes of ROWS that share a key and that ``pairing`` accepts."""
-    kind = "a long, b long, n int, fp long, fp2 long, again boolean"
+def dealt(rows: DataFrame, pairing: Pairing, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a < b, of nodes of ROWS that share a key and that ``pairing`` accepts, and the ROWS of groups over BIG."""
+    schema = "a long, b long, n int, fp long, fp2 long, kind tinyint"
     n = partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key")
-    found = pinned(dealt.mapInArrow(_paired(pairing, hot), kind))
-    pairs = found.filter("not again").select("a", "b")
-    rest = found.filter("again")
+    by_key = lambda x: x.repartition(n, "key").sortWithinPartitions("key")
+    found = pinned(by_key(rows).mapInArrow(_paired(pairing, hot), schema))
+    rest = found.filter(F.col("kind") == _AGAIN)
     if not rest.isEmpty():
-        anew = rest.mapInArrow(_anew, ROWS).repartition(n, "key").sortWithinPartitions("key")
-        pairs = pairs.unionAll(anew.mapInArrow(_paired(pairing, None), kind).select("a", "b"))
-    return pairs.distinct()
+        found = found.unionAll(pinned(by_key(rest.mapInArrow(_anew, ROWS)).mapInArrow(_paired(pairing, None), schema)))
+    large = found.filter(F.col("kind") == _LARGE).select(F.col("b").alias("key"), F.col("a").alias("node"), "n", "fp", "fp2")
+    return found.filter(F.col("kind") == _PAIR).select("a", "b").distinct(), large
+
+
+def candidates(rows: DataFrame, pairing: Pairing, hot: int = HOT) -> DataFrame:
+    """The pairs of ``dealt`` alone."""
+    return dealt(rows, pairing, hot)[0]
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often the bytes of each of 64 classes occur in each text."""
+    return np.stack([np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) & 63, minlength=64) for t in texts]).astype(np.int32)
+
+
+def _joined(n: np.ndarray, f: np.ndarray, g: np.ndarray, label: np.ndarray, texts: list[str], within: int, least: float, same: Callable[[str, str, float], bool]) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of similar rows that join the components of one group, sorted by size: each is tested unless its rows are joined already."""
+    parent = np.unique(label, return_inverse=True)[1]  # of each row; joining relabels
+    letters = _letters(texts)
+    rows, step = np.arange(len(n)), 1
+    while True:
+        rows = rows[rows + step < len(n)]
+        rows = rows[n[rows] >= least * n[rows + step] - 1e-9]
+        if not len(rows):
+            return
+        at = rows[parent[rows] != parent[rows + step]]
+        at = at[np.bitwise_count(f[at] ^ f[at + step]) + np.bitwise_count(g[at] ^ g[at + step]) <= within]
+        if len(at):
+            # an edit changes one character, of at most four bytes, for another
+            apart = letters[at] - letters[at + step]
+            bound = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) / 4
+            for i in at[bound <= (1 - least) * n[at + step] + 1e-9].tolist():
+                j = i + step
+                if parent[i] != parent[j] and same(texts[i], texts[j], least):
+                    parent[parent == parent[j]] = parent[i]
+                    yield i, j
+        step += 1
+
+
+def straddling(rows: DataFrame, within: int, least: float, same: Callable[[str, str, float], bool]) -> DataFrame:
+    """(a, b) of nodes in different components that are similar: no such pair of a group is left untested, save where others join its components.
+
+    ``rows`` are those of groups over BIG with ``component`` and ``text``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_group(batches, ["key"]):
+            key, n, label, node = (part[c].to_numpy() for c in ("key", "n", "component", "node"))
+            f, g = (part[c].to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+            order = np.lexsort((n, key))
+            cuts = np.flatnonzero(np.diff(key[order])) + 1
+            a, b = [], []
+            for own in np.split(order, cuts):
+                if len(own) and (label[own] != label[own[0]]).any():
+                    for i, j in _joined(n[own], f[own], g[own], label[own], part["text"].take(pa.array(own)).to_pylist(), within, least, same):
+                        a.append(node[own[i]])
+                        b.append(node[own[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
