@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nightjar.functions.frames import once
 from nightjar.plans.projections import dns, read, ssl, syslog, weird, with_lanes, x509
 from nightjar.registry import register
 from nightjar.sources import zeek
@@ -28,7 +29,7 @@ def norm_ssl(spark, sf_dir):
     flag = lambda c: F.when(F.col(c), "T").otherwise("F")
     cells = [F.col("ts").cast("string"), F.col("src"), F.col("dst"), F.lit("443"), F.col("version"), F.col("cipher"), F.coalesce("sni", F.lit("NONE")), flag("resumed"), flag("established"), F.coalesce("validation_status", F.lit("NONE")), F.coalesce(F.concat("cert_fp", F.lit("; other")), F.lit("EMPTY"))]
     names = ["ts", "id.orig_h", "id.resp_h", "id.resp_p", "version", "cipher", "server_name", "resumed", "established", "validation_status", "cert_chain_fps"]
-    rows = lane.select(F.lit("/logs/a.log").alias("file"), F.concat_ws("|", *cells).alias("value"))
+    rows = lane.select(F.lit("/logs/a.log").alias("file"), once(F.concat_ws("|", *cells)).alias("value"))
     head = [r"#separator \x7c", "#set_separator|; ", "#empty_field|EMPTY", "#unset_field|NONE", "#fields|" + "|".join(names), "#types|" + "|".join("string" for _ in names)]
     marks = lane.agg(F.count("*")).select(F.lit("/logs/a.log").alias("file"), F.explode(F.array(*[F.lit(h) for h in head])).alias("value"))
     return zeek.lane(marks.unionByName(rows), "ssl", tsv=True)

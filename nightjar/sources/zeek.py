@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nightjar.functions.frames import counted, once
 from nightjar.lanes import conform, schema
 from nightjar.sources.text import usable_ts
 
@@ -73,26 +74,33 @@ def tsv_headers(lines: DataFrame) -> DataFrame:
     return told.select("file", "separator", rest("set_separator", _SET).alias("set_separator"), rest("empty_field", _EMPTY).alias("empty"), rest("unset_field", _UNSET).alias("unset"), many("fields").alias("names"), many("types").alias("types"))
 
 
+def _literal(text: Column) -> Column:
+    """A pattern of that very text; a single sign is escaped, as such a split compiles no pattern a row."""
+    return F.when(text.rlike(r"^[^0-9A-Za-z\x{80}-\x{10FFFF}]$"), F.concat(F.lit("\\"), text)).otherwise(F.concat(F.lit(r"\Q"), text, F.lit(r"\E")))
+
+
 def _split(text: Column, separator: Column) -> Column:
-    return F.split(text, F.concat(F.lit(r"\Q"), separator, F.lit(r"\E")))
+    return F.split(text, _literal(separator))
 
 
 def tsv_fields(lines: DataFrame, kind: str) -> DataFrame:
     """Wire fields of separated lines with a header in each file. Lines with another number of cells go; unset cells are null, empty containers empty."""
     heads = tsv_headers(lines)
-    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).join(heads, "file").withColumn("cells", _split(F.col("value"), F.col("separator")))
-    rows = rows.filter(F.size("cells") == F.size("names")).withColumn("m", F.map_from_arrays("names", "cells"))
     if kind in GUARDED:
         both = F.lit(False)
         for wire, name in NAMES[kind].items():
             both = both | (F.array_contains("names", wire) & F.array_contains("names", name))
-        rows = rows.filter(~both)
+        heads = heads.filter(~both)
+    # a row a file; what is the same for all of a file's lines is worked out here, and the lines are not dealt by file, which would put a large one into one task
+    heads = counted(heads.select("file", "unset", "empty", F.size("names").alias("width"), _literal(F.col("separator")).alias("between"), _literal(F.col("set_separator")).alias("within"), *[(F.array_position("names", w) - 1).cast("int").alias(f"_at_{w}") for w in FIELDS[kind]]))
+    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).join(heads, "file").withColumn("cells", once(F.split("value", F.col("between"))))
+    rows = rows.filter(F.size("cells") == F.col("width"))
 
     def cell(name: str, kind_: str) -> Column:
-        raw = F.col("m").getItem(name)
+        raw = F.get("cells", F.col(f"`_at_{name}`"))
         raw = F.when(raw != F.col("unset"), raw)
         if kind_.startswith("array"):
-            items = F.when(raw == F.col("empty"), F.array().cast("array<string>")).otherwise(_split(raw, F.col("set_separator")))
+            items = F.when(raw == F.col("empty"), F.array().cast("array<string>")).otherwise(F.split(raw, F.col("within")))
             return items if kind_ == "array<string>" else F.transform(items, lambda x: x.try_cast("double"))
         raw = F.when(raw == F.col("empty"), F.lit("")).otherwise(raw)
         if kind_ == "boolean":
