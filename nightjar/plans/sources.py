@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nightjar.functions.frames import once
 from nightjar.plans.projections import conn, pihole, syslog, with_lanes
 from nightjar.registry import register
 from nightjar.sources import text
@@ -37,7 +38,7 @@ def scan_zeek_tsv(spark, sf_dir):
     names = ["ts", "id.orig_h", "id.resp_h", "id.resp_p", "proto", "orig_bytes", "resp_bytes", "duration", "conn_state"]
     cells = [F.coalesce(F.col(text.CONN_WIRE[n]).cast("string"), F.lit("-")) for n in names]
     head = lane.agg(F.count("*")).select(F.lit("/logs/box.log").alias("file"), F.lit("\t".join(["#fields", *names])).alias("value"))
-    return text.zeek_tsv(_lines(lane, F.concat_ws("\t", *cells)).unionByName(head), text.CONN_WIRE, "conn")
+    return text.zeek_tsv(_lines(lane, once(F.concat_ws("\t", *cells))).unionByName(head), text.CONN_WIRE, "conn")
 
 
 @register("scan_syslog_text", with_lanes("SELECT floor(ts)::DOUBLE AS ts, host, program, program || '[*]: user ' || split_part(message, 'user ', 2) AS message FROM syslog", "syslog"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from nightjar.functions.frames import counted, once
 from nightjar.lanes import conform
 
 # Wire names of connection and DNS logs and their lane names and types.
@@ -58,12 +59,14 @@ def zeek_tsv(lines: DataFrame, wire: dict[str, str], lane: str) -> DataFrame:
     Unset values become null, containers arrays. Lines with another number of fields than the header's go.
     """
     fields = lines.filter(F.col("value").startswith("#fields")).select("file", F.slice(F.split("value", "\t"), 2, 10_000).alias("names"))
+    # a row a file, so that the lines are not dealt by file, which would put a large one into one task
     heads = fields.groupBy("file").agg(F.first("names").alias("names"))
-    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).join(heads, "file").withColumn("cells", F.split("value", "\t"))
-    rows = rows.filter(F.size("cells") == F.size("names")).withColumn("m", F.map_from_arrays("names", "cells"))
+    heads = counted(heads.select("file", F.size("names").alias("width"), *[(F.array_position("names", w) - 1).cast("int").alias(f"_at_{w}") for w in wire]))
+    rows = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).join(heads, "file").withColumn("cells", once(F.split("value", "\t")))
+    rows = rows.filter(F.size("cells") == F.col("width"))
 
     def cell(name: str) -> Column:
-        raw = F.col("m").getItem(name)
+        raw = F.get("cells", F.col(f"`_at_{name}`"))
         raw = F.when(~raw.isin("-", ""), raw)
         kind = TYPES.get(name, "string")
         if kind.startswith("array"):
