@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nightjar.functions.frames import counted
+from nightjar.functions.frames import checkpointed, counted
 from nightjar.functions.net import HOME_NET, classify_addresses, distinct_addresses, in_network, with_dimension
 from nightjar.operators.windows import mix, most_distinct_in_range
 
@@ -195,8 +195,8 @@ def _exfil_rows(conn: DataFrame, home_net: Iterable[str], complete: bool = True)
     return rows.drop("src_facts", "dst_facts", "effective_local")
 
 
-def exfil_pairs(conn: DataFrame, min_bytes: int = GIB, min_share: float = 0.6, home_net: Iterable[str] = HOME_NET) -> DataFrame:
-    """Local -> external pairs with much and mostly outbound traffic over rows with both byte counters."""
+def exfil_pairs(conn: DataFrame, min_bytes: int = GIB, min_share: float = 0.6, home_net: Iterable[str] = HOME_NET, services: bool = True) -> DataFrame:
+    """Local -> external pairs with much and mostly outbound traffic over rows with both byte counters; their services only if asked for, as these take a second pass."""
     rows = _exfil_rows(conn, home_net).withColumn("_both", F.col("bytes") + F.col("resp_bytes"))
     pairs = rows.groupBy("src", "dst").agg(
         F.sum("bytes").alias("orig_bytes"), F.sum("resp_bytes").alias("resp_bytes"), F.count("*").alias("connections"),
@@ -204,8 +204,10 @@ def exfil_pairs(conn: DataFrame, min_bytes: int = GIB, min_share: float = 0.6, h
     )
     share = F.col("orig_bytes") / (F.col("orig_bytes") + F.col("resp_bytes"))
     pairs = pairs.withColumn("share", share).filter((F.col("orig_bytes") >= min_bytes) & (F.col("share") >= min_share))
-    services = rows.join(pairs.select("src", "dst"), ["src", "dst"], "left_semi").withColumn("service", F.concat_ws("/", F.coalesce(F.col("port").cast("string"), F.lit("?")), F.coalesce("proto", F.lit("?"))))
-    mixed = mix(services, ["src", "dst"], "service", "service_mix", F.col("_both"))
+    if not services:
+        return pairs.withColumn("orig_share", F.bround("share", 4)).drop("share")
+    used = rows.join(pairs.select("src", "dst"), ["src", "dst"], "left_semi").withColumn("service", F.concat_ws("/", F.coalesce(F.col("port").cast("string"), F.lit("?")), F.coalesce("proto", F.lit("?"))))
+    mixed = mix(used, ["src", "dst"], "service", "service_mix", F.col("_both"))
     return pairs.join(mixed, ["src", "dst"], "left").withColumn("orig_share", F.bround("share", 4)).drop("share")
 
 
@@ -214,6 +216,7 @@ def exfil_pools(pairs: DataFrame, least: int = 4, v4_bits: int = 20, v6_bits: in
 
     Members are listed as text, at most a network's surfaced destinations of one source.
     """
+    pairs = checkpointed(pairs)  # looked at three times
     found = counted(distinct_addresses(pairs, ["dst"]))
     dotted = F.concat_ws(".", *[F.shiftright(F.shiftleft(F.shiftright("number", 32 - v4_bits), 32 - v4_bits), 8 * k).bitwiseAND(F.lit(255)).cast("string") for k in (3, 2, 1, 0)])
     # an IPv6 network ends on a hex digit, so v6_bits is a multiple of 4

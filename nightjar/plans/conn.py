@@ -81,7 +81,7 @@ def exfil_pairs(spark, sf_dir):
   SELECT src, net AS target, 'destination_pool' AS tier, destinations, orig_bytes, resp_bytes, connections, first_ts, last_ts, members FROM pool
   UNION ALL SELECT src, dst, 'pair', 1, orig_bytes, resp_bytes, connections, first_ts, last_ts, dst FROM n WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.src = n.src AND p.net = n.net)""", "rough"))
 def exfil_pool_rollup(spark, sf_dir):
-    return ops.exfil_pools(ops.exfil_pairs(_kept(spark, sf_dir), min_bytes=200_000))
+    return ops.exfil_pools(ops.exfil_pairs(_kept(spark, sf_dir), min_bytes=200_000, services=False))
 
 
 @register("exfil_partial_facts", with_lanes(f"""p AS (SELECT src, dst, count(*) FILTER (resp_bytes >= 0) AS complete_rows, count(*) FILTER (resp_bytes IS NULL) AS excluded_rows, coalesce(sum(bytes) FILTER (resp_bytes >= 0), 0)::BIGINT AS eligible_bytes,
