@@ -90,16 +90,20 @@ def label_score(label: Column) -> Column:
     """Weighted lexical suspicion of a DNS label; 0 for the empty label.
 
     1.5 * entropy / log2(36) + 0.5 * distinct share + digit share - 0.5 * vowel share - 0.3 * longest run share.
-    Letters are counted as the runs of the sorted label.
+    Letters are counted as the runs of the sorted label. The label, its length and its counts are bound by transform(),
+    so that they are worked out once a label and not wherever the formula names them.
     """
-    s = F.lower(F.coalesce(label, F.lit("")))
-    n = F.length(s).cast("double")
     runs = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"(?s)((.)\2*)"), F.lit(1)), F.length)
-    counts = runs(F.array_join(F.array_sort(F.split(s, "")), ""))
-    entropy = F.aggregate(counts, F.lit(0.0), lambda a, c: a - c / n * F.log2(c / n))
-    digits, vowels = F.regexp_count(s, F.lit(r"\d")), F.regexp_count(s, F.lit("[aeiou]"))
-    score = 1.5 * entropy / F.lit(5.169925001442312) + 0.5 * F.size(counts) / n + digits / n - 0.5 * vowels / n - 0.3 * F.array_max(runs(s)) / n
-    return F.when(s == "", F.lit(0.0)).otherwise(score)
+
+    def score(t: Column) -> Column:
+        s, n, counts = t["s"], t["n"], t["counts"]
+        entropy = F.aggregate(counts, F.lit(0.0), lambda a, c: a - c / n * F.log2(c / n))
+        digits, vowels = F.regexp_count(s, F.lit(r"\d")), F.regexp_count(s, F.lit("[aeiou]"))
+        return 1.5 * entropy / F.lit(5.169925001442312) + 0.5 * F.size(counts) / n + digits / n - 0.5 * vowels / n - 0.3 * F.array_max(runs(s)) / n
+
+    s = F.lower(F.coalesce(label, F.lit("")))
+    bound = F.transform(F.array(s), lambda x: F.struct(x.alias("s"), F.length(x).cast("double").alias("n"), runs(F.array_join(F.sort_array(F.split(x, "")), "")).alias("counts")))
+    return F.when(s == "", F.lit(0.0)).otherwise(F.get(F.transform(bound, score), F.lit(0)))
 
 
 # Common public suffixes, wildcard and exception rules among them; `suffix_rules` reads a full list.

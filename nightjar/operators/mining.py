@@ -158,11 +158,11 @@ def dense_scan(clustered: DataFrame, score: Column, least: int = 100, high: floa
     A name counts for the first of its clusters; of all surfaced names the `top` by score stay.
     """
     rows = clustered.filter("cluster >= 0").withColumn("score", score)
-    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.avg((F.col("score") >= high).cast("double")).alias("high"))
-    domains = rows.groupBy("cluster", "domain").agg(F.count("*").alias("n"))
-    first = Window.partitionBy("cluster").orderBy(F.desc("n"), "domain")
-    lead = domains.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("cluster", F.col("domain").alias("dominant"), "n")
-    good = sizes.join(lead, "cluster").filter((F.col("size") >= least) & (F.col("high") >= high_share) & (F.col("n") >= domain_share * F.col("size")))
+    is_high = F.col("score") >= high
+    domains = rows.groupBy("cluster", "domain").agg(F.count("*").alias("n"), F.count(is_high).alias("scored"), F.count_if(is_high).alias("above"))
+    whole = Window.partitionBy("cluster")  # a row a domain
+    lead = domains.withColumns({"_r": F.row_number().over(whole.orderBy(F.desc("n"), "domain")), "size": F.sum("n").over(whole), "high": F.sum("above").over(whole) / F.sum("scored").over(whole)})
+    good = lead.filter("_r = 1").withColumnRenamed("domain", "dominant").filter((F.col("size") >= least) & (F.col("high") >= high_share) & (F.col("n") >= domain_share * F.col("size")))
     names = rows.join(counted(good.select("cluster", "dominant")), "cluster").filter(F.col("score") >= high)
     claimed = names.groupBy("query").agg(F.min(F.struct("cluster", "dominant")).alias("c"), F.max("score").alias("score"), F.count("*").alias("rows"))
     best = claimed.orderBy(F.desc(F.bround("score", 9)), "query").limit(top)  # a report of the best ones

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from nightjar.functions.frames import checkpointed, once
 from nightjar.functions.net import label_score, with_domain
 from nightjar.operators import mining
 from nightjar.operators.density import density_clusters
@@ -38,19 +39,23 @@ def dns_features(spark, sf_dir):
     return rows.select("row_id", "query", "suffix", *[F.bround(c, 5).alias(c) for c in _NUMBERS])
 
 
-def _scored(spark, sf_dir):
-    """Names with the score of their first label and the logarithm of the answer's time, on a grid so that equal vectors meet."""
-    lane = with_domain(dns(spark, sf_dir), "query").withColumn("first", F.substring_index("query", ".", 1))
-    return lane.withColumn("x", F.bround(label_score(F.col("first")), 2)).withColumn("y", F.bround(F.log1p(F.col("rtt") * 1000), 1))
+def _scored(lane):
+    """The lane's names with the score of their first label and the logarithm of the answer's time, on a grid so that equal vectors meet.
+
+    The rows are cut here: they are read for the vectors, for the clusters and for the report, and each name is scored once.
+    """
+    rows = lane.withColumn("score", once(label_score(F.substring_index("query", ".", 1))))
+    return checkpointed(rows.withColumn("x", F.bround("score", 2)).withColumn("y", F.bround(F.log1p(F.col("rtt") * 1000), 1)).drop("rtt"))
 
 
 @register("density_noise")
 def density_noise(spark, sf_dir):
-    rows = _scored(spark, sf_dir).select("row_id", "query", "x", "y")
+    rows = _scored(dns(spark, sf_dir).select("row_id", "query", "rtt")).select("row_id", "query", "x", "y")
     return density_clusters(rows, ["x", "y"], least_size=60, samples=15, width=0.4)
 
 
 @register("dns_dense_scan")
 def dns_dense_scan(spark, sf_dir):
-    clustered = density_clusters(_scored(spark, sf_dir).select("row_id", "query", "domain", "first", "x", "y"), ["x", "y"], least_size=60, samples=15, width=0.4)
-    return mining.dense_scan(clustered, label_score(F.col("first")), least=20, high=1.2, high_share=0.5, domain_share=0.1)
+    rows = _scored(with_domain(dns(spark, sf_dir).select("query", "rtt"), "query"))
+    clustered = density_clusters(rows, ["x", "y"], least_size=60, samples=15, width=0.4)
+    return mining.dense_scan(clustered, F.col("score"), least=20, high=1.2, high_share=0.5, domain_share=0.1)

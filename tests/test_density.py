@@ -145,3 +145,24 @@ def test_forest_by_rounds(spark):
     frame = spark.createDataFrame(edges, "p long, q long, w double, a long, b long")
     ends = lambda df: sorted((r.w, r.a, r.b) for r in df.collect())
     assert ends(lightest_forest(frame, 5)) == ends(lightest_forest(frame))
+
+
+def test_names_are_scored_once(spark):
+    """The clusters and the report read rows that have their score: nothing after that works it out again."""
+    from __spark_entry__ import queries
+    from tests.conftest import SF
+
+    for name in ("density_noise", "dns_dense_scan"):
+        plan = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "md5" not in plan, name
+
+
+def test_dense_scan_shares(spark):
+    """A cluster counts by its size, its share of high scores and its first domain's share; rows without a score are no part of the second."""
+    from nightjar.operators.mining import dense_scan
+
+    rows = [(0, "a.com", f"x{i}.a.com", 2.0 if i < 3 else 0.1) for i in range(4)] + [(0, "b.com", "y.b.com", None)]
+    rows += [(1, "b.com", f"y{i}.b.com", 2.0 if i < 1 else 0.1) for i in range(4)] + [(2, f"c{i}.com", f"z.c{i}.com", 2.0) for i in range(4)] + [(-1, "a.com", f"w{i}.a.com", 2.0) for i in range(4)]
+    frame = spark.createDataFrame(rows, "cluster int, domain string, query string, s double")
+    got = dense_scan(frame, frame["s"], least=4, high=1.8, high_share=0.75, domain_share=0.75).collect()
+    assert [tuple(r) for r in got] == [(f"x{i}.a.com", 0, "a.com", 2.0, 1) for i in range(3)]
