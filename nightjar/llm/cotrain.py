@@ -129,13 +129,13 @@ class View(NamedTuple):
         return cls(cuts, {c: sorted(sample[c].dropna().value_counts().head(CATEGORIES).index) for c in names})
 
     def matrix(self, rows: pd.DataFrame) -> np.ndarray:
-        """0/1 columns: a constant, `above cut` for every cut, a missing flag, one for each known value."""
-        columns = [np.ones(len(rows))]
+        """0/1 columns of a byte each: a constant, `above cut` for every cut, a missing flag, one for each known value."""
+        columns = [np.ones(len(rows), np.uint8)]
         for c, cuts in self.cuts.items():
             x = rows[c].to_numpy(float)
-            columns += [(x > cut).astype(float) for cut in cuts] + [np.isnan(x).astype(float)]
+            columns += [(x > cut).astype(np.uint8) for cut in cuts] + [np.isnan(x).astype(np.uint8)]
         for c, known in self.names.items():
-            columns += [(rows[c] == v).to_numpy(float) for v in known]
+            columns += [(rows[c] == v).to_numpy(np.uint8) for v in known]
         return np.column_stack(columns)
 
     def score(self, weights: np.ndarray, columns: dict[str, Column]) -> Column:
@@ -152,6 +152,19 @@ class View(NamedTuple):
         return total
 
 
+def _pieces(x: np.ndarray, size: int = 4096):
+    """(rows, their features as floats) in pieces: a whole matrix is held in bytes alone."""
+    for i in range(0, len(x), size):
+        yield slice(i, i + size), x[i : i + size].astype(float)
+
+
+def _linear(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x))
+    for at, piece in _pieces(x):
+        out[at] = piece @ weights
+    return out
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the first column is the constant and isn't shrunk."""
     weight = np.ones(len(y)) if weight is None else weight
@@ -159,9 +172,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     shrink[0] = 1e-3
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        slope = x.T @ (weight * (y - p)) - shrink * w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(shrink)
+        slope, curve = -shrink * w, np.diag(shrink)
+        for at, piece in _pieces(x):
+            p = _sigmoid(piece @ w)
+            slope += piece.T @ (weight[at] * (y[at] - p))
+            curve += (piece * (weight[at] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ piece
         step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
@@ -234,18 +249,18 @@ def co_train(known: pd.DataFrame, pool: pd.DataFrame, rounds: int = ROUNDS) -> M
             break
         before = [(~np.isnan(g)).sum() for g in given]
         for me, other in ((0, 1), (1, 0)):
-            z = us[me] @ weights[me]
+            z = _linear(us[me], weights[me])
             p = _sigmoid(z)
             most = max(1, len(pool) // (2 * rounds))
             for up in (True, False):
-                if _trusted(hs[me] @ weights[me], yh, up):
+                if _trusted(_linear(hs[me], weights[me]), yh, up):
                     sure = np.flatnonzero((p >= CONFIDENT if up else p <= 1 - CONFIDENT) & np.isnan(given[other]))
                     sure = sure[np.argsort(-z[sure] if up else z[sure], kind="stable")]
                     share = (y == up).mean()
                     given[other][sure[: max(1, int(most * share))]] = float(up)
         if [(~np.isnan(g)).sum() for g in given] == before:
             break
-    scores = [h @ w for h, w in zip(hs, weights, strict=True)]
+    scores = [_linear(h, w) for h, w in zip(hs, weights, strict=True)]
     platt = tuple(fit_logistic(np.column_stack([np.ones(len(yh)), s]), yh) for s in scores)
     calibrated = [a[0] + a[1] * s for a, s in zip(platt, scores, strict=True)]
     joint = fit_logistic(np.column_stack([np.ones(len(yh)), *calibrated]), yh)
@@ -276,7 +291,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     drawn = docs.withColumn("_id", F.col(id_col).cast("long")).join(F.broadcast(chosen), "_id")
     described = [c.alias(n) for n, c in features.items()] + [gram_bits(F.col(text_col)).alias("g")]
     one = F.min(F.struct(F.xxhash64(text_col).alias("h"), *described)).alias("s")  # repeats go before the driver
-    sample = drawn.groupBy("_id", "y").agg(one).select("_id", "y", *[f"s.{n}" for n in [*features, "g"]]).toPandas().sort_values("_id")
+    sample = drawn.groupBy("_id", "y").agg(one).select("_id", "y", *[f"s.{n}" for n in [*features, "g"]]).toArrow().to_pandas().sort_values("_id")
     known, unknown = sample[sample["y"].notna()], sample[sample["y"].isna()]
     model = co_train(known.assign(y=known["y"].astype(int)).reset_index(drop=True), unknown.reset_index(drop=True), rounds) if len(known) else None
     if model is None:

@@ -84,6 +84,25 @@ def test_views_exchange_labels():
     assert min(model.exchanged) > 20
 
 
+def test_the_fit_holds_little_memory():
+    """A feature is a byte in the driver: what the fit holds is a small multiple of the bytes of its rows."""
+    import tracemalloc
+
+    import pandas as pd
+
+    draw = np.random.default_rng(3)
+    n = 16_000
+    y = draw.integers(0, 2, n)
+    frame = pd.DataFrame({f"t_{i}": draw.normal(size=n) + y / 2 for i in range(12)} | {"m_chars": draw.normal(size=n) + y, "m_source": np.where(y, "a", "b"), "m_lang": "en"})
+    frame["g"] = [bytes(x) for x in draw.integers(0, 256, (n, ct.GRAMS // 8), dtype=np.uint8)]
+    known, pool = frame[: n // 2].assign(y=y[: n // 2]), frame[n // 2 :].reset_index(drop=True)
+    tracemalloc.start()
+    model = ct.co_train(known, pool)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model is not None and peak < 60e6, peak
+
+
 @pytest.mark.parametrize("fold", [0, 1])
 def test_held_out_accuracy(spark, fold):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
